@@ -8,10 +8,12 @@ from .missing import (
     missing_or_equal,
     na_concat,
     na_if_else,
+    na_if_else_sql,
     nz,
+    percent,
     ratio,
 )
-from .rounding import r_round, signif
+from .rounding import r_round, signif, signif_sql
 from .sums import (
     distinct_with_missing,
     exact_mean,
@@ -36,11 +38,14 @@ __all__ = [
     "missing_or_equal",
     "na_concat",
     "na_if_else",
+    "na_if_else_sql",
     "nz",
     "nz_sum",
+    "percent",
     "r_round",
     "ratio",
     "signif",
+    "signif_sql",
     "strict_sum",
     "to_units",
 ]

@@ -16,6 +16,11 @@ def na_if_else(condition: Column, yes: Column, no: Column) -> Column:
     return F.when(condition.isNull(), F.lit(None)).when(condition, yes).otherwise(no)
 
 
+def na_if_else_sql(condition: str, yes: str, no: str) -> str:
+    """The same choice as SQL, for use inside an aggregate."""
+    return f"CASE WHEN ({condition}) IS NULL THEN NULL WHEN {condition} THEN {yes} ELSE {no} END"
+
+
 def na_concat(*parts: Column | str) -> Column:
     """Join text pieces; a missing piece reads ``NA`` instead of erasing the whole."""
     return F.concat(
@@ -33,6 +38,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def percent(part: str, whole: str) -> Column:
+    """``part`` as a percentage of ``whole``; missing for a zero whole."""
+    return F.expr(f"try_divide(100D * {part}, {whole})")
+
+
 def missing_or_equal(x: Column, value) -> Column:
     """Keep rows an outer join left unmatched, and those equal to ``value``."""
     return x.isNull() | (x == F.lit(value))

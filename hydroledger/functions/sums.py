@@ -37,38 +37,41 @@ def fixed(x: Column, places: int) -> Column:
     return F.rint(x * scale) / scale
 
 
-def exact_sum(x: Column, places: int = PLACES) -> Column:
-    """Sum skipping missing values; missing when there is nothing to add."""
-    units = to_units(x, places)
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(28,0)")
-    low = F.sum(units.bitwiseAND(F.lit(_LOW_MASK).cast("bigint"))).cast("decimal(28,0)")
-    whole = high * F.lit(1 << _LOW_BITS).cast("decimal(9,0)") + low
-    return from_units(whole, places)
+def exact_sum(x: str) -> Column:
+    """Sum of a column or SQL expression, skipping missing values.
 
+    Missing when there is nothing to add.
+    """
+    return F.expr(_exact_sum_sql(x))
 
-def nz_sum(x: Column) -> Column:
+
+def nz_sum(x: str) -> Column:
     """Sum skipping missing values; zero when there is nothing to add."""
-    return F.coalesce(exact_sum(x), F.lit(0.0))
+    return F.expr(f"coalesce({_exact_sum_sql(x)}, 0D)")
+
+
+def _exact_sum_sql(x: str) -> str:
+    units = f"cast(rint(({x}) * 1e{PLACES}D) AS bigint)"
+    high = f"cast(sum(shiftright({units}, {_LOW_BITS})) AS decimal(28,0))"
+    low = f"cast(sum({units} & {_LOW_MASK}L) AS decimal(28,0))"
+    whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(30,0))"
+    return f"cast({whole} * {Decimal(1).scaleb(-PLACES):f}BD AS double)"
 
 
-def strict_sum(x: Column, rows: Column | None = None) -> Column:
+def strict_sum(x: str, rows: str = "true") -> Column:
     """Sum that is missing as soon as one value (among ``rows``) is missing."""
-    if rows is None:
-        return F.when(F.count(x) == F.count(F.lit(1)), exact_sum(x))
-    kept = F.when(rows, x)
-    return F.when(F.count(kept) == F.count_if(rows), exact_sum(kept))
+    kept = f"CASE WHEN {rows} THEN {x} END"
+    return F.expr(f"CASE WHEN count({kept}) = count_if({rows}) THEN {_exact_sum_sql(kept)} END")
 
 
-def exact_mean(x: Column) -> Column:
+def exact_mean(x: str) -> Column:
     """Mean of the values present; missing when there are none."""
-    return exact_sum(x) / F.when(F.count(x) > 0, F.count(x))
+    return F.expr(f"try_divide({_exact_sum_sql(x)}, count({x}))")
 
 
-def distinct_with_missing(x: Column, rows: Column | None = None) -> Column:
-    """Distinct values, missing counting as one value."""
-    if rows is None:
-        return F.count_distinct(x) + F.coalesce(
-            F.max(F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0))), F.lit(0)
-        )
-    hole = F.when(rows & x.isNull(), F.lit(1)).otherwise(F.lit(0))
-    return F.count_distinct(F.when(rows, x)) + F.coalesce(F.max(hole), F.lit(0))
+def distinct_with_missing(x: str, rows: str = "true") -> Column:
+    """Distinct values (among ``rows``), missing counting as one value."""
+    return F.expr(
+        f"count(DISTINCT CASE WHEN {rows} THEN {x} END) "
+        f"+ max(CASE WHEN {rows} AND {x} IS NULL THEN 1 ELSE 0 END)"
+    )

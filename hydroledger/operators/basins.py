@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nz_sum, r_round, ratio, strict_sum
+from ..functions import nz_sum, r_round, percent, strict_sum
 from .model import NATIONAL, Units, is_crop, r_round_by_product
 from .summary import of_blocs
 
@@ -29,12 +29,12 @@ def basin_footprint(
         .where(is_crop() | F.col("attributed"))
         .groupBy("year", "bloc", "product", "basin")
         .agg(
-            (nz_sum(F.col("green_m3")) * units.water).alias("green"),
-            (nz_sum(F.col("blue_m3")) * units.water).alias("blue"),
+            (nz_sum("green_m3") * units.water).alias("green"),
+            (nz_sum("blue_m3") * units.water).alias("blue"),
         )
-        .withColumn("green", r_round_by_product(F.col("green"), 1, 0))
-        .withColumn("blue", r_round(F.col("blue"), 2))
-        .withColumn("water_basin", r_round(F.col("green") + F.col("blue"), 1))
+        .withColumn("green", r_round_by_product("green", 1, 0))
+        .withColumn("blue", r_round("blue", 2))
+        .withColumn("water_basin", r_round("green + blue", 1))
     )
     label = labels.select(F.col("basin").alias("_basin"), "scarcity")
     bloc = totals.select("year", "bloc", F.col("water").alias("water_bloc"))
@@ -50,7 +50,7 @@ def basin_footprint(
             "water_basin",
             "scarcity",
             "water_bloc",
-            r_round(ratio(100 * F.col("water_basin"), F.col("water_bloc")), 2).alias("pct"),
+            r_round(percent("water_basin", "water_bloc"), 2).alias("pct"),
         )
     )
 
@@ -62,10 +62,10 @@ def basin_scarcity_rollup(footprint: DataFrame) -> DataFrame:
     does: it is not a total of the class.
     """
     return footprint.groupBy("year", "bloc", "scarcity").agg(
-        strict_sum(F.col("green")).alias("green"),
-        strict_sum(F.col("blue")).alias("blue"),
-        strict_sum(F.col("water_bloc")).alias("water_bloc"),
-        r_round(strict_sum(F.col("pct"))).alias("pct"),
+        strict_sum("green").alias("green"),
+        strict_sum("blue").alias("blue"),
+        strict_sum("water_bloc").alias("water_bloc"),
+        r_round(strict_sum("pct")).alias("pct"),
     )
 
 
@@ -75,13 +75,13 @@ def basin_blue_share(footprint: DataFrame, totals: DataFrame) -> DataFrame:
     return (
         footprint.select("year", "bloc", "basin", F.col("blue").alias("blue_basin"), "scarcity")
         .join(bloc, ["year", "bloc"], "left")
-        .withColumn("pct", r_round(ratio(100 * F.col("blue_basin"), F.col("blue_bloc")), 2))
+        .withColumn("pct", r_round(percent("blue_basin", "blue_bloc"), 2))
     )
 
 
 def basin_blue_scarcity_rollup(blue: DataFrame) -> DataFrame:
     """Blue water and its share per scarcity class."""
     return blue.groupBy("year", "bloc", "scarcity").agg(
-        strict_sum(F.col("blue_basin")).alias("blue"),
-        r_round(strict_sum(F.col("pct"))).alias("pct"),
+        strict_sum("blue_basin").alias("blue"),
+        r_round(strict_sum("pct")).alias("pct"),
     )

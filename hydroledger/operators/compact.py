@@ -20,4 +20,4 @@ def compact(
     gives what the single flows would.  Hot keys shrink on the map side, before
     any shuffle.  A group without any value keeps a missing measure.
     """
-    return flows.groupBy(*keys).agg(*[exact_sum(flows[m]).alias(m) for m in measures])
+    return flows.groupBy(*keys).agg(*[exact_sum(m).alias(m) for m in measures])

@@ -13,7 +13,7 @@ from ..functions import (
     distinct_with_missing,
     nz_sum,
     r_round,
-    ratio,
+    percent,
     strict_sum,
 )
 from .model import (
@@ -77,22 +77,22 @@ def hotspot_clearing_share(
     marked sums and the totals come from the same aggregate.
     """
     marks = of_years(hotspot_places(bench), years).select(*ORIGIN, F.lit(True).alias("_mark"))
-    hot = F.coalesce(F.col("_mark"), F.lit(False))
+    hot = "_mark IS NOT NULL"
     return (
         of_blocs(of_years(flows, years), blocs)
         .select(*KEYS, "origin_id", "volume", "ha_def")
         .join(marks, list(ORIGIN), "left")
         .groupBy(*KEYS)
         .agg(
-            r_round(strict_sum(F.col("volume"), hot) * units.mass, 6).alias("mass"),
-            r_round(nz_sum(F.when(hot, F.col("ha_def")))).alias("ha_def"),
-            distinct_with_missing(F.col("origin_id"), hot).alias("n_origins"),
-            r_round(nz_sum(F.col("ha_def"))).alias("cleared_total"),
-            F.count_if(hot).alias("_hot"),
+            r_round(strict_sum("volume", hot) * units.mass, 6).alias("mass"),
+            r_round(nz_sum(f"CASE WHEN {hot} THEN ha_def END")).alias("ha_def"),
+            distinct_with_missing("origin_id", hot).alias("n_origins"),
+            r_round(nz_sum("ha_def")).alias("cleared_total"),
+            F.count("_mark").alias("_hot"),
         )
         .where("_hot > 0")
         .drop("_hot")
-        .withColumn("pct_cleared", r_round(ratio(100 * F.col("ha_def"), F.col("cleared_total"))))
+        .withColumn("pct_cleared", r_round(percent("ha_def", "cleared_total")))
         .orderBy(descending(F.col("product")), ascending(F.col("year")), "bloc")
     )
 
@@ -102,5 +102,5 @@ def origin_counts(flows: DataFrame, blocs: Sequence[str]) -> DataFrame:
     return (
         of_blocs(flows, blocs)
         .groupBy(*KEYS)
-        .agg(distinct_with_missing(F.col("origin_id")).alias("n_origins"))
+        .agg(distinct_with_missing("origin_id").alias("n_origins"))
     )

@@ -41,7 +41,7 @@ def blue_map_layer(
         water.where(F.col("attributed") & F.col("type").isin(*BLUE_TYPES))
         .where(F.col("year").isin(*years) & F.col("bloc").isin(*blocs))
         .groupBy("year", "bloc", "origin_id")
-        .agg((nz_sum(F.col("water_m3")) * units.water).alias("water"))
+        .agg((nz_sum("water_m3") * units.water).alias("water"))
         .join(place.select("origin_id", "geometry"), "origin_id", "left")
         .select(
             "year",

@@ -57,7 +57,12 @@ def by_product(crop: Column, herd: Column) -> Column:
     return F.when(is_crop(), crop).otherwise(herd)
 
 
-def r_round_by_product(x: Column, crop_digits: int, herd_digits: int) -> Column:
+def by_product_sql(crop: str, herd: str) -> str:
+    """The same choice as SQL, for use inside an aggregate."""
+    return f"CASE WHEN product = '{CROP}' THEN {crop} ELSE {herd} END"
+
+
+def r_round_by_product(x: str, crop_digits: int, herd_digits: int) -> Column:
     return by_product(r_round(x, crop_digits), r_round(x, herd_digits))
 
 

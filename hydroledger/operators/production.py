@@ -7,43 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, nz_sum, r_round, ratio, signif
+from ..functions import exact_mean, nz_sum, r_round, signif, signif_sql
 from .model import CROP, HERD, NATIONAL, Units, of_years
 
-# Ratios are formed from reported values and shown per tonne or per thousand tonnes.
-_PER_TONNE = {"mass": 1e6, "water": 1e9}
 
-
-def _per_tonne(water: str) -> Column:
-    return ratio(F.col(water) * _PER_TONNE["water"], F.col("mass") * _PER_TONNE["mass"])
+def _per_tonne(water: str) -> str:
+    """m3 per tonne from the reported totals (km3 and Mt, or both a thousandth)."""
+    return f"try_divide({water} * 1e9D, mass * 1e6D)"
 
 
 def crop_production_summary(production: DataFrame, units: Units = NATIONAL) -> DataFrame:
     """Crop production, land, clearing, water and the ratios of the rounded totals."""
-    tonnes = F.col("tonnes")
     totals = (
         production.where(F.col("product") == CROP)
         .groupBy("year")
         .agg(
-            r_round(nz_sum(tonnes) * units.mass, 1).alias("mass"),
-            r_round(nz_sum(F.col("planted_ha")) * units.area, 1).alias("planted"),
-            r_round(nz_sum(F.col("def_ha")) * units.area, 2).alias("cleared"),
-            r_round(nz_sum(F.col("ghg_t")) * units.carbon).alias("co2"),
-            r_round(nz_sum(F.col("wf") * tonnes) * units.water).alias("water"),
-            r_round(nz_sum(F.col("gwf") * tonnes) * units.water).alias("green"),
-            r_round(nz_sum(signif(F.col("bwf") * tonnes, 4)) * units.water, 2).alias("blue"),
-            r_round(nz_sum(F.col("irrigated_ha")) * units.area, 2).alias("irrigated"),
+            r_round(nz_sum("tonnes") * units.mass, 1).alias("mass"),
+            r_round(nz_sum("planted_ha") * units.area, 1).alias("planted"),
+            r_round(nz_sum("def_ha") * units.area, 2).alias("cleared"),
+            r_round(nz_sum("ghg_t") * units.carbon).alias("co2"),
+            r_round(nz_sum("wf * tonnes") * units.water).alias("water"),
+            r_round(nz_sum("gwf * tonnes") * units.water).alias("green"),
+            r_round(nz_sum(signif_sql("(bwf * tonnes)", 4)) * units.water, 2).alias("blue"),
+            r_round(nz_sum("irrigated_ha") * units.area, 2).alias("irrigated"),
         )
     )
     return totals.select(
         "*",
-        r_round(ratio(F.col("mass") * 1e6, F.col("planted") * 1e6), 2).alias("yield"),
-        signif(ratio(F.col("cleared"), F.col("mass") * 1e-3), 2).alias("cleared_per_kt"),
-        signif(ratio(F.col("co2"), F.col("mass")), 2).alias("co2_per_t"),
+        r_round("try_divide(mass * 1e6D, planted * 1e6D)", 2).alias("yield"),
+        signif("try_divide(cleared, mass * 1e-3D)", 2).alias("cleared_per_kt"),
+        signif("try_divide(co2, mass)", 2).alias("co2_per_t"),
         r_round(_per_tonne("water")).alias("water_per_t"),
         r_round(_per_tonne("green")).alias("green_per_t"),
         r_round(_per_tonne("blue")).alias("blue_per_t"),
-    ).withColumn("pct_blue", r_round(ratio(100 * F.col("blue_per_t"), F.col("water_per_t")), 2))
+    ).withColumn("pct_blue", r_round("try_divide(100D * blue_per_t, water_per_t)", 2))
 
 
 def herd_production_summary(
@@ -52,7 +49,7 @@ def herd_production_summary(
     """Live weight, pasture, clearing, emissions, water and stock of the listed years."""
 
     def scaled(column: str, factor: float) -> Column:
-        return nz_sum(F.col(column)) * factor
+        return nz_sum(column) * factor
 
     totals = (
         of_years(production, years)
@@ -68,16 +65,16 @@ def herd_production_summary(
             r_round(scaled("pasture_m3", units.water)).alias("pasture_water"),
             r_round(scaled("animal_m3", units.water), 1).alias("animal_water"),
             r_round(scaled("reservoir_m3", units.water), 1).alias("reservoir_water"),
-            r_round(nz_sum(F.rint(F.col("water_ha"))) * units.area, 2).alias("water_area"),
-            r_round(exact_mean(F.col("stock")), 2).alias("stock_mean"),
+            r_round(nz_sum("rint(water_ha)") * units.area, 2).alias("water_area"),
+            r_round(exact_mean("stock"), 2).alias("stock_mean"),
         )
     )
     return totals.select(
         "*",
-        signif(ratio(F.col("cleared"), F.col("mass") * 1e-3), 3).alias("cleared_per_kt"),
-        r_round(ratio(F.col("co2_def"), F.col("mass")), 1).alias("co2_def_per_t"),
-        r_round(ratio(F.col("co2_low"), F.col("mass")), 1).alias("co2_low_per_t"),
-        r_round(ratio(F.col("co2_high"), F.col("mass")), 1).alias("co2_high_per_t"),
+        signif("try_divide(cleared, mass * 1e-3D)", 3).alias("cleared_per_kt"),
+        r_round("try_divide(co2_def, mass)", 1).alias("co2_def_per_t"),
+        r_round("try_divide(co2_low, mass)", 1).alias("co2_low_per_t"),
+        r_round("try_divide(co2_high, mass)", 1).alias("co2_high_per_t"),
         signif(_per_tonne("pasture_water"), 3).alias("pasture_per_t"),
         r_round(_per_tonne("animal_water")).alias("animal_per_t"),
         r_round(_per_tonne("reservoir_water")).alias("reservoir_per_t"),

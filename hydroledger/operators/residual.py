@@ -36,8 +36,8 @@ def state_exports(flows: DataFrame) -> DataFrame:
         flows.where(F.col("product") == HERD)
         .groupBy("year", "state_code")
         .agg(
-            nz_sum(F.col("volume")).alias("volume_out"),
-            *[nz_sum(F.col(m)).alias(f"{name}_out") for name, (m, _) in RESIDUALS.items()],
+            nz_sum("volume").alias("volume_out"),
+            *[nz_sum(m).alias(f"{name}_out") for name, (m, _) in RESIDUALS.items()],
         )
     )
 
@@ -48,13 +48,12 @@ def state_domestic_residual(production: DataFrame, exports: DataFrame) -> DataFr
     A row whose coefficient is missing adds nothing; a state without exports
     keeps its whole production.
     """
-    tonnes = F.col("tonnes")
     produced = (
         production.where(F.col("product") == HERD)
         .groupBy("year", "state_code")
         .agg(
-            nz_sum(tonnes).alias("produced"),
-            *[nz_sum(F.col(c) * tonnes).alias(f"{name}_all") for name, (_, c) in RESIDUALS.items()],
+            nz_sum("tonnes").alias("produced"),
+            *[nz_sum(f"{c} * tonnes").alias(f"{name}_all") for name, (_, c) in RESIDUALS.items()],
         )
     )
     return produced.join(exports, ["year", "state_code"], "left").select(
@@ -72,19 +71,19 @@ def national_domestic_residual(
 ) -> DataFrame:
     """National domestic use per year, less the volume of unknown origin."""
     total = residual.groupBy("year").agg(
-        r_round(nz_sum(F.col("volume")) * units.mass, 2).alias("mass"),
-        r_round(nz_sum(F.col("cleared")) * units.area, 2).alias("cleared"),
-        r_round(nz_sum(F.col("blue_m3")) * units.water).alias("blue"),
-        r_round(nz_sum(F.col("green_m3")) * units.water).alias("green"),
-        r_round(nz_sum(F.col("co2_def")) * units.carbon).alias("co2_def"),
-        r_round(nz_sum(F.col("co2_high")) * units.carbon).alias("co2_high"),
-        r_round(nz_sum(F.col("co2_low")) * units.carbon).alias("co2_low"),
+        r_round(nz_sum("volume") * units.mass, 2).alias("mass"),
+        r_round(nz_sum("cleared") * units.area, 2).alias("cleared"),
+        r_round(nz_sum("blue_m3") * units.water).alias("blue"),
+        r_round(nz_sum("green_m3") * units.water).alias("green"),
+        r_round(nz_sum("co2_def") * units.carbon).alias("co2_def"),
+        r_round(nz_sum("co2_high") * units.carbon).alias("co2_high"),
+        r_round(nz_sum("co2_low") * units.carbon).alias("co2_low"),
     )
     return (
         total.join(unknown, "year", "left")
-        .withColumn("water", r_round(F.col("green") + F.col("blue"), 1))
+        .withColumn("water", r_round("green + blue", 1))
         .withColumn("co2_mean", r_round((F.col("co2_low") + F.col("co2_high")) / 2))
-        .withColumn("co2_total", r_round(F.col("co2_def") + F.col("co2_mean")))
+        .withColumn("co2_total", r_round("co2_def + co2_mean"))
         .withColumn("mass", r_round(F.col("mass") - F.col("unknown_t") * units.mass, 2))
         .select(
             "year",

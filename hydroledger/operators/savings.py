@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ascending, descending, nz_sum, r_round, ratio, signif
+from ..functions import ascending, descending, nz_sum, r_round, percent, signif_sql
 from ..plans.lookups import bound, lookup
-from .model import ABOVE_WF, NATIONAL, PRODUCTS, Units, by_product, of_years
+from .model import ABOVE_WF, NATIONAL, PRODUCTS, Units, by_product, by_product_sql, of_years
 from .ordered import exact_median
 from .summary import KEYS, of_blocs
 
@@ -42,8 +42,10 @@ def median_savings(
         "year", "product", "origin_id", by_product(F.col("wf"), F.col("bwf")).alias("coef")
     )
     middle = lookup(medians, bound(years, products))
-    at_median = F.col("median") * F.col("volume")
-    as_is = F.col("coef") * F.col("volume")
+    at_median, as_is = [
+        nz_sum(by_product_sql(signif_sql(water, 4), water)) * units.water
+        for water in ("(median * volume)", "(coef * volume)")
+    ]
     return (
         of_blocs(of_years(flows, years), blocs)
         .where(F.col("product").isin(*products))
@@ -51,18 +53,15 @@ def median_savings(
         .join(of_years(tagged, years), ["year", "product", "origin_id"])
         .join(middle, ["year", "product"], "left")
         .groupBy(*KEYS, "median")
-        .agg(
-            (nz_sum(by_product(signif(at_median, 4), at_median)) * units.water).alias("at_median"),
-            (nz_sum(by_product(signif(as_is, 4), as_is)) * units.water).alias("as_is"),
-        )
-        .withColumn("at_median", by_product(r_round(F.col("at_median"), 2), F.col("at_median")))
-        .withColumn("as_is", by_product(r_round(F.col("as_is"), 2), F.col("as_is")))
+        .agg(at_median.alias("at_median"), as_is.alias("as_is"))
+        .withColumn("at_median", by_product(r_round("at_median", 2), F.col("at_median")))
+        .withColumn("as_is", by_product(r_round("as_is", 2), F.col("as_is")))
         .select(
             "bloc",
             "at_median",
             "as_is",
             "median",
-            r_round(F.col("as_is") - F.col("at_median"), 2).alias("savings"),
+            r_round("as_is - at_median", 2).alias("savings"),
             "year",
             "product",
         )
@@ -80,7 +79,7 @@ def savings_table(
     )
     return (
         savings.join(reference.where(F.col("bloc") != domestic), list(KEYS), "left")
-        .withColumn("pct_savings", r_round(ratio(100 * F.col("savings"), F.col("water"))))
+        .withColumn("pct_savings", r_round(percent("savings", "water")))
         .orderBy(ascending(F.col("bloc")), descending(F.col("product")), ascending(F.col("year")))
         .select(
             "bloc",

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import descending, na_if_else, nz_sum, r_round, ratio, strict_sum
+from ..functions import descending, na_if_else_sql, nz_sum, r_round, percent, strict_sum
 from .model import (
     CROP,
     HERD,
     NATIONAL,
     Units,
-    by_product,
+    by_product_sql,
     is_crop,
     r_round_by_product,
 )
@@ -26,12 +26,10 @@ def of_blocs(flows: DataFrame, blocs: Sequence[str]) -> DataFrame:
     return flows.where(F.col("bloc").isin(*blocs))
 
 
-def irrigated_volume() -> Column:
+def irrigated_volume() -> str:
     """Volume from irrigated origins: zero where the blue coefficient is zero,
     missing where it is missing.  Herd flows carry none."""
-    return by_product(
-        na_if_else(F.col("bwf") == 0, F.lit(0.0), F.col("volume")), F.lit(0.0)
-    )
+    return by_product_sql(na_if_else_sql("bwf = 0", "0D", "volume"), "0D")
 
 
 def product_summary(
@@ -45,20 +43,20 @@ def product_summary(
         of_blocs(flows, blocs)
         .groupBy(*KEYS)
         .agg(
-            nz_sum(F.col("volume")).alias("vol_total"),
+            nz_sum("volume").alias("vol_total"),
             nz_sum(irrigated_volume()).alias("vol_irrigated"),
-            (nz_sum(F.col("green_m3")) * units.water).alias("green"),
-            (nz_sum(F.col("blue_m3")) * units.water).alias("blue"),
-            nz_sum(F.col("ha_def")).alias("cleared_total"),
+            (nz_sum("green_m3") * units.water).alias("green"),
+            (nz_sum("blue_m3") * units.water).alias("blue"),
+            nz_sum("ha_def").alias("cleared_total"),
         )
         .withColumns(
             {
-                "green": r_round_by_product(F.col("green"), 1, 0),
-                "blue": r_round(F.col("blue"), 2),
-                "cleared_total": r_round(F.col("cleared_total")),
+                "green": r_round_by_product("green", 1, 0),
+                "blue": r_round("blue", 2),
+                "cleared_total": r_round("cleared_total"),
             }
         )
-        .withColumn("water", r_round(F.col("green") + F.col("blue"), 1))
+        .withColumn("water", r_round("green + blue", 1))
         .select(
             *KEYS, "vol_total", "vol_irrigated", "green", "blue", "water", "cleared_total"
         )
@@ -68,9 +66,9 @@ def product_summary(
 def bloc_totals(summary: DataFrame) -> DataFrame:
     """Products combined per year and bloc: sums of the rounded product values."""
     return summary.groupBy("year", "bloc").agg(
-        r_round(strict_sum(F.col("green"))).alias("green"),
-        r_round(strict_sum(F.col("blue")), 2).alias("blue"),
-        r_round(strict_sum(F.col("water"))).alias("water"),
+        r_round(strict_sum("green")).alias("green"),
+        r_round(strict_sum("blue"), 2).alias("blue"),
+        r_round(strict_sum("water")).alias("water"),
     )
 
 
@@ -84,13 +82,13 @@ def _footprint(flows: DataFrame, product: str, blocs: Sequence[str], units: Unit
         .where(F.col("product") == product)
         .groupBy(*KEYS)
         .agg(
-            (nz_sum(F.col("volume")) * units.mass).alias("mass"),
-            (nz_sum(F.col("green_m3")) * units.water).alias("green"),
-            (nz_sum(F.col("blue_m3")) * units.water).alias("blue"),
-            (nz_sum(F.col("ha_def")) * units.area).alias("cleared"),
-            (nz_sum(F.col("co2_def")) * units.carbon).alias("co2_def"),
-            (nz_sum(F.col("co2_low")) * units.carbon).alias("co2_low"),
-            (nz_sum(F.col("co2_high")) * units.carbon).alias("co2_high"),
+            (nz_sum("volume") * units.mass).alias("mass"),
+            (nz_sum("green_m3") * units.water).alias("green"),
+            (nz_sum("blue_m3") * units.water).alias("blue"),
+            (nz_sum("ha_def") * units.area).alias("cleared"),
+            (nz_sum("co2_def") * units.carbon).alias("co2_def"),
+            (nz_sum("co2_low") * units.carbon).alias("co2_low"),
+            (nz_sum("co2_high") * units.carbon).alias("co2_high"),
         )
     )
 
@@ -103,14 +101,14 @@ def crop_bloc_footprint(
         _footprint(flows, CROP, blocs, units)
         .withColumns(
             {
-                "mass": r_round(F.col("mass"), 1),
-                "green": r_round(F.col("green"), 1),
-                "blue": r_round(F.col("blue"), 2),
-                "cleared": r_round(F.col("cleared"), 2),
-                "co2_def": r_round(F.col("co2_def")),
+                "mass": r_round("mass", 1),
+                "green": r_round("green", 1),
+                "blue": r_round("blue", 2),
+                "cleared": r_round("cleared", 2),
+                "co2_def": r_round("co2_def"),
             }
         )
-        .withColumn("water", r_round(F.col("green") + F.col("blue"), 1))
+        .withColumn("water", r_round("green + blue", 1))
         .select(*KEYS, "mass", "green", "blue", "water", "cleared", "co2_def")
     )
 
@@ -123,16 +121,16 @@ def herd_bloc_footprint(
         _footprint(flows, HERD, blocs, units)
         .withColumns(
             {
-                "mass": r_round(F.col("mass"), 3),
-                "green": r_round(F.col("green")),
-                "blue": r_round(F.col("blue"), 2),
-                "cleared": r_round(F.col("cleared"), 3),
-                "co2_def": r_round(F.col("co2_def"), 1),
-                "co2_mean": (r_round(F.col("co2_low"), 1) + r_round(F.col("co2_high"), 1)) / 2,
+                "mass": r_round("mass", 3),
+                "green": r_round("green"),
+                "blue": r_round("blue", 2),
+                "cleared": r_round("cleared", 3),
+                "co2_def": r_round("co2_def", 1),
+                "co2_mean": (r_round("co2_low", 1) + r_round("co2_high", 1)) / 2,
             }
         )
-        .withColumn("water", r_round(F.col("green") + F.col("blue"), 1))
-        .withColumn("co2_total", r_round(F.col("co2_def") + F.col("co2_mean")))
+        .withColumn("water", r_round("green + blue", 1))
+        .withColumn("co2_total", r_round("co2_def + co2_mean"))
         .select(
             *KEYS, "mass", "green", "blue", "water", "cleared", "co2_def", "co2_mean", "co2_total"
         )
@@ -142,7 +140,7 @@ def herd_bloc_footprint(
 def import_totals(flows: DataFrame, blocs: Sequence[str]) -> DataFrame:
     """Imported volume per year, bloc and product."""
     return (
-        of_blocs(flows, blocs).groupBy(*KEYS).agg(nz_sum(F.col("volume")).alias("vol_total"))
+        of_blocs(flows, blocs).groupBy(*KEYS).agg(nz_sum("volume").alias("vol_total"))
     )
 
 
@@ -151,17 +149,17 @@ def irrigated_import_share(flows: DataFrame, blocs: Sequence[str]) -> DataFrame:
 
     Both sums come from one pass; years and blocs without such an origin are left out.
     """
-    scarce = F.col("bwsf") != 0
+    scarce = "CASE WHEN bwsf != 0 THEN volume END"
     return (
         of_blocs(flows, blocs)
         .where(is_crop())
         .groupBy("year", "bloc")
         .agg(
-            nz_sum(F.when(scarce, F.col("volume"))).alias("vol_irrigated"),
-            nz_sum(F.col("volume")).alias("vol_total"),
-            F.count_if(scarce).alias("_scarce"),
+            nz_sum(scarce).alias("vol_irrigated"),
+            nz_sum("volume").alias("vol_total"),
+            F.count_if(F.col("bwsf") != 0).alias("_scarce"),
         )
         .where("_scarce > 0")
         .drop("_scarce")
-        .withColumn("pct_irrigated", ratio(100 * F.col("vol_irrigated"), F.col("vol_total")))
+        .withColumn("pct_irrigated", percent("vol_irrigated", "vol_total"))
     )

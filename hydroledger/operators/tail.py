@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nz_sum, r_round, ratio, strict_sum
-from .model import CROP, NATIONAL, PRODUCTS, Units, by_product, of_years
+from ..functions import nz_sum, r_round, percent, ratio, strict_sum
+from .model import CROP, NATIONAL, PRODUCTS, Units, by_product_sql, of_years
 from .ordered import range_parts, running_total
 from .summary import KEYS, irrigated_volume, of_blocs
 
@@ -26,7 +26,7 @@ def _ranked_origins(
     years: Sequence[str] | None,
     products: Sequence[str],
     cut: float,
-    crop_base: Column,
+    crop_base: str,
     coefficients: Sequence[str],
 ) -> DataFrame:
     """Tail origins with the reference volume and the clearing of their group.
@@ -40,16 +40,16 @@ def _ranked_origins(
         .where(F.col("product").isin(*products))
         .groupBy(*KEYS, "origin_id", *coefficients)
         .agg(
-            nz_sum(F.col("volume")).alias("volume"),
-            nz_sum(F.col("ha_def")).alias("ha_def"),
-            nz_sum(by_product(crop_base, F.col("volume"))).alias("_base"),
+            nz_sum("volume").alias("volume"),
+            nz_sum("ha_def").alias("ha_def"),
+            nz_sum(by_product_sql(crop_base, "volume")).alias("_base"),
         )
-        .withColumn("_ranked", by_product(F.coalesce(F.col("bwsf") != 0, F.lit(False)), F.lit(True)))
-        .withColumn("_weight", F.when(F.col("_ranked"), F.col("volume")).otherwise(F.lit(0.0)))
+        .withColumn("_ranked", F.expr(by_product_sql("coalesce(bwsf != 0, false)", "true")))
+        .withColumn("_weight", F.expr("CASE WHEN _ranked THEN volume ELSE 0D END"))
     )
     parts = range_parts(per_origin, KEYS, ["bwsf", "origin_id"])
     groups = parts.groupBy(*KEYS).agg(
-        nz_sum(F.col("_base")).alias("base"), nz_sum(F.col("ha_def")).alias("cleared_group")
+        nz_sum("_base").alias("base"), nz_sum("ha_def").alias("cleared_group")
     )
 
     def may_hold_tail(before: Column, reach: Column) -> Column:
@@ -114,11 +114,11 @@ def tail_clearing_share(
         _tail_rows(flows, blocs, years, PRODUCTS, cut)
         .groupBy(*KEYS)
         .agg(
-            (strict_sum(F.col("volume")) * units.mass).alias("mass"),
-            r_round(strict_sum(F.col("ha_def"))).alias("ha_def"),
+            (strict_sum("volume") * units.mass).alias("mass"),
+            r_round(strict_sum("ha_def")).alias("ha_def"),
             r_round(F.max("cleared_group")).alias("cleared_total"),
         )
-        .withColumn("pct_cleared", r_round(ratio(100 * F.col("ha_def"), F.col("cleared_total"))))
+        .withColumn("pct_cleared", r_round(percent("ha_def", "cleared_total")))
     )
 
 
@@ -136,7 +136,7 @@ def tail_layer(
     rows that are ranked; the herd share against the whole volume.  Origins without
     a place drop out.
     """
-    scarce = F.when(F.col("bwsf") != 0, F.col("volume"))
+    scarce = "CASE WHEN bwsf != 0 THEN volume END"
     base = "vol_irrigated" if product == CROP else "vol_total"
     tail = _ranked_origins(flows, blocs, years, [product], cut, scarce, ["bwf", "bwsf"])
     return tail.join(place.select("origin_id", "geometry"), "origin_id").select(

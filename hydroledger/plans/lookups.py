@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -21,6 +21,27 @@ def lookup(df: DataFrame, at_most: int | None) -> DataFrame:
     return df
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored table, from the file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(hadoop_path).getLength()
+
+
+def broadcast_if_small(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Broadcast ``df`` when the tables it looks rows up in are small on disk.
+
+    Spark multiplies the sizes of joined tables in its estimate, so it would miss a
+    small table that was itself joined to smaller ones.  The limit is the session's
+    own broadcast threshold; above it the join is left to Spark.
+    """
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if sum(stored_bytes(spark, path) for path in paths) <= limit:
+        return F.broadcast(df)
+    return df
+
+
 def bound(*choices: Sequence | None) -> int | None:
     """Number of combinations of the listed values; unknown if a list is open."""
     rows = 1

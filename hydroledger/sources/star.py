@@ -7,7 +7,8 @@ Every dimension has a unique key and is joined from the left, so leaving out a
 dimension whose columns are not asked for changes no row.  Flows and production
 are added up per supplier before supplier attributes are joined wherever the
 query allows it: a supplier with a third of all lines shrinks on the map side.
-No join here forces a broadcast; Spark compares the file sizes with its limit.
+A side is broadcast only after its stored size was compared with the session's
+limit; beyond it the join is left to Spark.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from ..operators.model import (
     Units,
     attributed,
 )
-from ..plans.lookups import bound, lookup
+from ..plans.lookups import bound, broadcast_if_small, lookup
 
 # Blocs of the test data: two importers and the producing country's own.
 IMPORTERS = ("ASIA", "EUROPE")
@@ -58,8 +59,30 @@ _SUPPLIER_COLUMNS = {
 _MEASURES = ("volume", "green_m3", "blue_m3", "ha_def", "co2_def", "co2_low", "co2_high")
 
 
+# Declared, so that opening a table reads no file footers.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    ),
+}
+
+
+def path_of(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(path_of(sf_dir, name))
+
+
+def _lookup(df: DataFrame, sf_dir: str, *names: str) -> DataFrame:
+    return broadcast_if_small(df, [path_of(sf_dir, name) for name in names])
 
 
 def _irrigates(supplier: Column) -> Column:
@@ -92,13 +115,20 @@ def _order_years(spark, sf_dir, years, blocs, with_bloc: bool) -> DataFrame:
     year = F.year("o_orderdate").cast("string").alias("year")
     if not with_bloc:
         return orders.select("o_orderkey", year)
-    nation = table(spark, sf_dir, "nation")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("bloc"))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    homes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    buyers = customer.join(homes, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    buyers = (
+        table(spark, sf_dir, "customer")
+        .join(
+            _lookup(nation, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        )
+        .join(
+            _lookup(region, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
+        )
+        .select("c_custkey", "bloc")
+    )
     out = orders.select("o_orderkey", "o_custkey", year).join(
-        buyers.select("c_custkey", "bloc"), F.col("o_custkey") == F.col("c_custkey"), "left"
+        _lookup(buyers, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
     if blocs is not None:
         out = out.where(F.col("bloc").isin(*blocs))
@@ -111,6 +141,7 @@ def _origins(spark, sf_dir) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
     key, code = F.col("s_suppkey"), F.col("s_nationkey")
     unlinked = _unlinked(key)
+    nation = _lookup(nation, sf_dir, "nation")
     return supplier.join(nation, code == F.col("n_nationkey"), "left").select(
         "s_suppkey",
         F.when(unlinked, F.concat(F.lit(f"{UNLINKED}-"), code))
@@ -138,7 +169,8 @@ def _with_origins(lines: DataFrame, spark, sf_dir, columns) -> DataFrame:
         ),
     )
     if _SUPPLIER_COLUMNS & set(columns):
-        out = out.join(_origins(spark, sf_dir), key == F.col("s_suppkey"), "left")
+        origins = _lookup(_origins(spark, sf_dir), sf_dir, "supplier")
+        out = out.join(origins, key == F.col("s_suppkey"), "left")
         out = out.withColumn("attributed", attributed())
     return out.select(*columns)
 
@@ -180,12 +212,13 @@ def trade(
     )
     with_bloc = "bloc" in columns or blocs is not None
     orders = _order_years(spark, sf_dir, years, blocs, with_bloc)
+    orders = _lookup(orders, sf_dir, "orders")
     flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     by_supplier = {"bwf", *_SUPPLIER_COLUMNS} & set(columns)
     if per_supplier and by_supplier:
         keys = [c for c in ("year", "bloc", "product") if c in columns]
         flows = flows.groupBy(*keys, "l_suppkey").agg(
-            *[exact_sum(F.col(m)).alias(m) for m in _MEASURES if m in columns]
+            *[exact_sum(m).alias(m) for m in _MEASURES if m in columns]
         )
     return _with_origins(flows, spark, sf_dir, columns)
 
@@ -202,21 +235,21 @@ def production(
     ``sparse`` keeps only returned bulk lines, to leave places observed in some
     years only.
     """
-    key, quantity, price = F.col("l_suppkey"), F.col("l_quantity"), F.col("l_extendedprice")
-    discount, tax = F.col("l_discount"), F.col("l_tax")
+    key = F.col("l_suppkey")
     lines = table(spark, sf_dir, "lineitem")
     if sparse:
-        lines = lines.where((quantity >= 50) & (F.col("l_returnflag") == "R"))
+        lines = lines.where("l_quantity >= 50 AND l_returnflag = 'R'")
     orders = _order_years(spark, sf_dir, years, None, with_bloc=False)
+    orders = _lookup(orders, sf_dir, "orders")
     sums = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("year", _product().alias("product"), "l_suppkey")
         .agg(
-            exact_sum(quantity).alias("tonnes"),
-            exact_sum(price).alias("pasture_m3"),
-            exact_sum(price * discount).alias("_blue"),
-            exact_sum(quantity * tax).alias("def_ha"),
-            exact_sum(quantity * discount).alias("ghg_t"),
+            exact_sum("l_quantity").alias("tonnes"),
+            exact_sum("l_extendedprice").alias("pasture_m3"),
+            exact_sum("l_extendedprice * l_discount").alias("_blue"),
+            exact_sum("l_quantity * l_tax").alias("def_ha"),
+            exact_sum("l_quantity * l_discount").alias("ghg_t"),
             F.count("*").alias("_lines"),
         )
     )
@@ -255,6 +288,7 @@ def production(
             .otherwise(F.lit(0.0))
             .alias("bwsf"),
         )
+        supplier = _lookup(supplier, sf_dir, "supplier")
         out = out.join(supplier, key == F.col("s_suppkey"), "left")
     return out.select(*columns)
 
@@ -268,7 +302,7 @@ def bench(production: DataFrame, years: Sequence[str]) -> DataFrame:
     ``production`` is read twice, for the cutoffs and the tags: pass a written table.
     """
     cutoffs = production.groupBy("year", "product").agg(
-        *[exact_mean(F.col(c)).alias(f"_{c}") for c in ("bwf", "bwsf", "def_per_t")]
+        *[exact_mean(c).alias(f"_{c}") for c in ("bwf", "bwsf", "def_per_t")]
     )
 
     def tag(column: str, above: str, below: str) -> Column:
