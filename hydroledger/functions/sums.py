@@ -37,23 +37,25 @@ def fixed(x: Column, places: int) -> Column:
     return F.rint(x * scale) / scale
 
 
-def exact_sum(x: str) -> Column:
+def exact_sum(x: str, copies: str | None = None) -> Column:
     """Sum of a column or SQL expression, skipping missing values.
 
-    Missing when there is nothing to add.
+    Missing when there is nothing to add.  ``copies`` names a column telling how many
+    equal rows each row stands for.
     """
-    return F.expr(_exact_sum_sql(x))
+    return F.expr(_exact_sum_sql(x, copies))
 
 
-def nz_sum(x: str) -> Column:
+def nz_sum(x: str, copies: str | None = None) -> Column:
     """Sum skipping missing values; zero when there is nothing to add."""
-    return F.expr(f"coalesce({_exact_sum_sql(x)}, 0D)")
+    return F.expr(f"coalesce({_exact_sum_sql(x, copies)}, 0D)")
 
 
-def _exact_sum_sql(x: str) -> str:
+def _exact_sum_sql(x: str, copies: str | None = None) -> str:
+    times = f" * {copies}" if copies else ""
     units = f"cast(rint(({x}) * 1e{PLACES}D) AS bigint)"
-    high = f"cast(sum(shiftright({units}, {_LOW_BITS})) AS decimal(28,0))"
-    low = f"cast(sum({units} & {_LOW_MASK}L) AS decimal(28,0))"
+    high = f"cast(sum(shiftright({units}, {_LOW_BITS}){times}) AS decimal(28,0))"
+    low = f"cast(sum(({units} & {_LOW_MASK}L){times}) AS decimal(28,0))"
     whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(30,0))"
     return f"cast({whole} * {Decimal(1).scaleb(-PLACES):f}BD AS double)"
 

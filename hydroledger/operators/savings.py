@@ -36,20 +36,22 @@ def median_savings(
     """Actual and median-performance water of the flows tagged above the cutoff.
 
     Crop flows are cut to four significant digits each and their sums rounded; herd
-    flows are neither.  All years, blocs and products run as one grouped query.
+    flows are neither.  All years, blocs and products run as one grouped query.  A
+    ``copies`` column in the flows says how many equal flows a row stands for.
     """
+    copies = "copies" if "copies" in flows.columns else None
     tagged = bench.where(F.col("tag_wf") == ABOVE_WF).select(
         "year", "product", "origin_id", by_product(F.col("wf"), F.col("bwf")).alias("coef")
     )
     middle = lookup(medians, bound(years, products))
     at_median, as_is = [
-        nz_sum(by_product_sql(signif_sql(water, 4), water)) * units.water
+        nz_sum(by_product_sql(signif_sql(water, 4), water), copies) * units.water
         for water in ("(median * volume)", "(coef * volume)")
     ]
     return (
         of_blocs(of_years(flows, years), blocs)
         .where(F.col("product").isin(*products))
-        .select(*KEYS, "origin_id", "volume")
+        .select(*KEYS, "origin_id", "volume", *([copies] if copies else []))
         .join(of_years(tagged, years), ["year", "product", "origin_id"])
         .join(middle, ["year", "product"], "left")
         .groupBy(*KEYS, "median")

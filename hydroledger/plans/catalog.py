@@ -186,14 +186,9 @@ def _bench_production(spark, sf_dir, years=YEARS):
 
 def _savings(spark, sf_dir, products):
     produced = _bench_production(spark, sf_dir)
-    flows = star.trade(
-        spark,
-        sf_dir,
-        [*KEYS, "origin_id", "volume"],
-        years=YEARS,
-        blocs=IMPORTERS,
-        per_supplier=False,
-    )
+    # Rounding works on single flows, so equal ones are counted, not added.
+    columns = [*KEYS, "origin_id", "volume", "copies"]
+    flows = star.trade(spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS)
     return savings.median_savings(
         flows,
         star.bench(produced, YEARS),
@@ -270,31 +265,34 @@ def tail_layer_herd(spark, sf_dir):
     return tail.tail_layer(_tail_flows(spark, sf_dir), place, HERD, IMPORTERS, YEARS)
 
 
-def _hotspot_inputs(spark, sf_dir):
+def _hotspot_inputs(spark, sf_dir, per_supplier):
     flows = star.trade(
         spark,
         sf_dir,
         [*KEYS, "origin_id", "volume", "ha_def"],
         years=YEARS,
         blocs=IMPORTERS,
-        per_supplier=False,
+        per_supplier=per_supplier,
+        strict=["volume"],
     )
     return flows, star.bench(_bench_production(spark, sf_dir), YEARS)
 
 
 @query
 def hotspot_origins_crop(spark, sf_dir):
-    return hotspot.hotspot_origins(*_hotspot_inputs(spark, sf_dir), IMPORTERS, YEARS, (CROP,))
+    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=False)
+    return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (CROP,))
 
 
 @query
 def hotspot_origins_herd(spark, sf_dir):
-    return hotspot.hotspot_origins(*_hotspot_inputs(spark, sf_dir), IMPORTERS, YEARS, (HERD,))
+    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=False)
+    return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (HERD,))
 
 
 @query
 def hotspot_clearing_share(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir)
+    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=True)
     return hotspot.hotspot_clearing_share(flows, bench, IMPORTERS, YEARS, SCALE)
 
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, exact_sum, fixed, na_if_else
+from ..functions import exact_mean, exact_sum, fixed, na_if_else, strict_sum
 from ..operators.model import (
     ABOVE_DEF,
     ABOVE_WF,
@@ -135,20 +135,24 @@ def _order_years(spark, sf_dir, years, blocs, with_bloc: bool) -> DataFrame:
     return out.select("o_orderkey", "year", "bloc")
 
 
-def _origins(spark, sf_dir) -> DataFrame:
+def _origins(spark, sf_dir, columns) -> DataFrame:
     """Supplier attributes as place attributes."""
     supplier = table(spark, sf_dir, "supplier")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
     key, code = F.col("s_suppkey"), F.col("s_nationkey")
     unlinked = _unlinked(key)
-    nation = _lookup(nation, sf_dir, "nation")
-    return supplier.join(nation, code == F.col("n_nationkey"), "left").select(
+    if "state" in columns:
+        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        nation = _lookup(nation, sf_dir, "nation")
+        supplier = supplier.join(nation, code == F.col("n_nationkey"), "left")
+    else:
+        supplier = supplier.withColumn("n_name", F.lit(None).cast("string"))
+    return supplier.select(
         "s_suppkey",
         F.when(unlinked, F.concat(F.lit(f"{UNLINKED}-"), code))
         .otherwise(F.concat(F.lit("M-"), key))
         .alias("origin_id"),
         F.when(unlinked, F.lit(UNLINKED)).otherwise(F.col("s_name")).alias("name"),
-        "state",
+        F.col("n_name").alias("state"),
         F.concat(F.lit("N"), code).alias("state_abbr"),
         code.alias("state_code"),
         F.when(~unlinked, F.concat(F.lit("BASIN_"), code)).alias("basin"),
@@ -169,7 +173,7 @@ def _with_origins(lines: DataFrame, spark, sf_dir, columns) -> DataFrame:
         ),
     )
     if _SUPPLIER_COLUMNS & set(columns):
-        origins = _lookup(_origins(spark, sf_dir), sf_dir, "supplier")
+        origins = _lookup(_origins(spark, sf_dir, columns), sf_dir, "supplier")
         out = out.join(origins, key == F.col("s_suppkey"), "left")
         out = out.withColumn("attributed", attributed())
     return out.select(*columns)
@@ -182,14 +186,17 @@ def trade(
     years: Sequence[str] | None = None,
     blocs: Sequence[str] | None = None,
     per_supplier: bool = True,
+    strict: Sequence[str] = (),
     sparse: bool = False,
 ) -> DataFrame:
     """Flow table with the named columns.
 
     ``per_supplier`` adds the lines of a supplier up first (per year, bloc and
-    product), which every operator built on sums can use.  Without it there is one
-    row per order line.  ``sparse`` keeps only bulk lines without blue water, to
-    leave basins and states without flows.
+    product), which every operator built on sums can use; a measure listed as
+    ``strict`` is then missing if one of its lines is.  With a ``copies`` column,
+    equal volumes of a supplier are counted instead of added.  Without
+    ``per_supplier`` there is one row per order line.  ``sparse`` keeps only bulk
+    lines without blue water, to leave basins and states without flows.
     """
     key = F.col("l_suppkey")
     quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
@@ -217,9 +224,13 @@ def trade(
     by_supplier = {"bwf", *_SUPPLIER_COLUMNS} & set(columns)
     if per_supplier and by_supplier:
         keys = [c for c in ("year", "bloc", "product") if c in columns]
-        flows = flows.groupBy(*keys, "l_suppkey").agg(
-            *[exact_sum(m).alias(m) for m in _MEASURES if m in columns]
-        )
+        if "copies" in columns:
+            flows = flows.groupBy(*keys, "l_suppkey", "volume").agg(F.count("*").alias("copies"))
+        else:
+            sums = {m: strict_sum(m) if m in strict else exact_sum(m) for m in _MEASURES}
+            flows = flows.groupBy(*keys, "l_suppkey").agg(
+                *[total.alias(m) for m, total in sums.items() if m in columns]
+            )
     return _with_origins(flows, spark, sf_dir, columns)
 
 
