@@ -2,7 +2,8 @@
 
 Flows carry: year, bloc, product, origin_id, attributed, basin, state_code,
 volume, green_m3, blue_m3, ha_def, co2_def, co2_low, co2_high and the per-tonne
-coefficients ``bwf`` (blue water) and ``bwsf`` (scarcity).
+coefficients ``bwf`` (blue water), ``bwsf`` (scarcity) and, where known, ``wf``
+(all water).
 """
 
 from __future__ import annotations

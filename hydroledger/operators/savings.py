@@ -37,11 +37,15 @@ def median_savings(
 
     Crop flows are cut to four significant digits each and their sums rounded; herd
     flows are neither.  All years, blocs and products run as one grouped query.  A
-    ``copies`` column in the flows says how many equal flows a row stands for.
+    ``copies`` column in the flows says how many equal flows a row stands for.  The
+    coefficients ``wf`` and ``bwf`` are the flows' own where they carry both, else
+    those of the benchmark table.
     """
     copies = "copies" if "copies" in flows.columns else None
+    own = {"wf", "bwf"} <= set(flows.columns)
+    coefficient = by_product(F.col("wf"), F.col("bwf")).alias("coef")
     tagged = bench.where(F.col("tag_wf") == ABOVE_WF).select(
-        "year", "product", "origin_id", by_product(F.col("wf"), F.col("bwf")).alias("coef")
+        "year", "product", "origin_id", *([] if own else [coefficient])
     )
     middle = lookup(medians, bound(years, products))
     at_median, as_is = [
@@ -51,7 +55,13 @@ def median_savings(
     return (
         of_blocs(of_years(flows, years), blocs)
         .where(F.col("product").isin(*products))
-        .select(*KEYS, "origin_id", "volume", *([copies] if copies else []))
+        .select(
+            *KEYS,
+            "origin_id",
+            "volume",
+            *([copies] if copies else []),
+            *([coefficient] if own else []),
+        )
         .join(of_years(tagged, years), ["year", "product", "origin_id"])
         .join(middle, ["year", "product"], "left")
         .groupBy(*KEYS, "median")

@@ -409,15 +409,18 @@ def blue_map_layer(spark, sf_dir):
     return layers.blue_map_layer(series, star.place(spark, sf_dir), YEARS, IMPORTERS, SCALE)
 
 
-def _layer_inputs(spark, sf_dir, coefficient, sparse=False):
+def _layer_inputs(spark, sf_dir, coefficient, sparse=False, years=None):
     columns = ["year", "product", "origin_id", coefficient]
-    produced = star.production(spark, sf_dir, columns, sparse=sparse)
+    produced = star.production(spark, sf_dir, columns, years, sparse=sparse)
     return produced, star.place(spark, sf_dir), MAP_YEAR
 
 
 @query
 def crop_scarcity_bins(spark, sf_dir):
-    return layers.crop_scarcity_bins(*_layer_inputs(spark, sf_dir, "bwsf"))
+    # The inner join shows no other year; the outer joins below need all years, to
+    # tell a place never seen from one seen in another year.
+    inputs = _layer_inputs(spark, sf_dir, "bwsf", years=[MAP_YEAR])
+    return layers.crop_scarcity_bins(*inputs)
 
 
 @query

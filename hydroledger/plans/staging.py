@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,14 +30,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the shared folder and return the written table.
+
+    The folder of the table is deleted when the driver ends, or earlier by
+    :func:`drop_staged`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
+    _WRITTEN.append(path)
+    files, hadoop_path = _locate(spark, path)
+    files.deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; results not yet collected lose their input."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        files, hadoop_path = _locate(spark, _WRITTEN.pop())
+        files.delete(hadoop_path, True)
+    return count
+
+
+def _locate(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path

@@ -23,7 +23,7 @@ SCHEMAS: dict[str, T.StructType] = {
         "year string, origin_id string, name string, state string, state_abbr string, "
         "state_code int, basin string, bloc string, product string, volume double, "
         "green_m3 double, blue_m3 double, ha_def double, co2_def double, co2_low double, "
-        "co2_high double, bwf double, bwsf double"
+        "co2_high double, wf double, bwf double, bwsf double"
     ),
     "production": _fields(
         "year string, product string, origin_id string, state_code int, tonnes double, "

@@ -193,6 +193,10 @@ def test_median_and_savings(spark, rows):
     )
     same = savings.median_savings(counted, bench, medians, ["A"], ["2015"], units=ONE)
     assert {r["product"]: r for r in rows(same)} == got
+    # Flows with both coefficients use their own.
+    own = df.withColumns({"wf": F.lit(1.0), "bwf": F.lit(2.0)})
+    same = rows(savings.median_savings(own, bench, medians, ["A"], ["2015"], units=ONE))
+    assert {r["product"]: r["as_is"] for r in same} == {"Soy": 7.23, "Beef": 14.469}
 
 
 def test_savings_table_leaves_out_the_domestic_bloc(spark, rows):

@@ -55,6 +55,10 @@ def test_staged_table_goes_to_the_named_folder(spark):
     assert all(named in path for path in staged.inputFiles())
     # Nothing of the first plan is left: only the written files are read.
     assert "Range" not in staged._jdf.queryExecution().executedPlan().toString()
+    folder = os.path.dirname(staged.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder)
+    assert staging.drop_staged(spark) >= 1
+    assert not os.path.isdir(folder)
 
 
 class _Session:
