@@ -103,19 +103,18 @@ _PRODUCED = ["year", "product", "state_code", "tonnes", "gwf", "bwf", "def_per_t
 _PRODUCED += ["co2_per_t", "co2_low_per_t", "co2_high_per_t"]
 
 
-def _exports(spark, sf_dir, blocs=FOREIGN, sparse=False):
-    flows = star.trade(spark, sf_dir, _RESIDUAL, blocs=blocs, sparse=sparse)
-    return residual.state_exports(flows)
-
-
-def _residual(spark, sf_dir, blocs=FOREIGN, sparse=False):
-    produced = star.production(spark, sf_dir, _PRODUCED)
-    return residual.state_domestic_residual(produced, _exports(spark, sf_dir, blocs, sparse))
+def _residual(spark, sf_dir):
+    """Exports and production share one pass over the order lines."""
+    lines = star.order_lines(spark, sf_dir).where(F.col("product") == HERD)
+    sums = stage(star.supplier_sums(lines, _RESIDUAL[3:]))
+    exports = star.trade(spark, sf_dir, _RESIDUAL, blocs=FOREIGN, sums=sums)
+    produced = star.production(spark, sf_dir, _PRODUCED, sums=sums)
+    return residual.state_domestic_residual(produced, residual.state_exports(exports))
 
 
 @query
 def state_exports(spark, sf_dir):
-    return _exports(spark, sf_dir)
+    return residual.state_exports(star.trade(spark, sf_dir, _RESIDUAL, blocs=FOREIGN))
 
 
 @query
@@ -126,7 +125,9 @@ def state_domestic_residual(spark, sf_dir):
 @query
 def state_domestic_residual_bulk(spark, sf_dir):
     """Exports are only the bulk rainfed flows to one bloc: many states export nothing."""
-    return _residual(spark, sf_dir, ("ASIA",), sparse=True)
+    exports = star.trade(spark, sf_dir, _RESIDUAL, blocs=["ASIA"], where=star.BULK)
+    produced = star.production(spark, sf_dir, _PRODUCED)
+    return residual.state_domestic_residual(produced, residual.state_exports(exports))
 
 
 @query
@@ -180,12 +181,12 @@ def basin_blue_scarcity_rollup(spark, sf_dir):
 # --- benchmarks and savings -------------------------------------------------
 
 
-def _bench_production(spark, sf_dir, years=YEARS):
-    return stage(star.production(spark, sf_dir, star.BENCH_INPUT, years))
+def _bench_production(spark, sf_dir, years=YEARS, sums=None):
+    return stage(star.production(spark, sf_dir, star.BENCH_INPUT, years, sums=sums))
 
 
-def _savings(spark, sf_dir, products):
-    produced = _bench_production(spark, sf_dir)
+def _savings(spark, sf_dir, products, sums=None):
+    produced = _bench_production(spark, sf_dir, sums=sums)
     # Rounding works on single flows, so equal ones are counted, not added.
     columns = [*KEYS, "origin_id", "volume", "copies"]
     flows = star.trade(spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS)
@@ -218,11 +219,13 @@ def median_savings_herd(spark, sf_dir):
 
 @query
 def savings_table(spark, sf_dir):
-    # A few rows per year and bloc, read by both footprints.
-    flows = stage(compact(_footprint_flows(spark, sf_dir, YEARS), KEYS, _FOOTPRINT[3:]))
+    # One pass for the two footprints and for production, one for the single flows.
+    lines = star.order_lines(spark, sf_dir, YEARS)
+    sums = stage(star.supplier_sums(lines, _FOOTPRINT[3:]))
     blocs = (*IMPORTERS, HOME)
+    flows = star.trade(spark, sf_dir, _FOOTPRINT, blocs=blocs, sums=sums)
     return savings.savings_table(
-        _savings(spark, sf_dir, (CROP, HERD)),
+        _savings(spark, sf_dir, (CROP, HERD), sums),
         summary.crop_bloc_footprint(flows, blocs, SCALE),
         summary.herd_bloc_footprint(flows, blocs, SCALE),
         HOME,
@@ -265,34 +268,37 @@ def tail_layer_herd(spark, sf_dir):
     return tail.tail_layer(_tail_flows(spark, sf_dir), place, HERD, IMPORTERS, YEARS)
 
 
-def _hotspot_inputs(spark, sf_dir, per_supplier):
+_HOTSPOT = [*KEYS, "origin_id", "volume", "ha_def"]
+
+
+def _hotspot_inputs(spark, sf_dir):
     flows = star.trade(
-        spark,
-        sf_dir,
-        [*KEYS, "origin_id", "volume", "ha_def"],
-        years=YEARS,
-        blocs=IMPORTERS,
-        per_supplier=per_supplier,
-        strict=["volume"],
+        spark, sf_dir, _HOTSPOT, years=YEARS, blocs=IMPORTERS, per_supplier=False
     )
     return flows, star.bench(_bench_production(spark, sf_dir), YEARS)
 
 
 @query
 def hotspot_origins_crop(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=False)
+    flows, bench = _hotspot_inputs(spark, sf_dir)
     return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (CROP,))
 
 
 @query
 def hotspot_origins_herd(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=False)
+    flows, bench = _hotspot_inputs(spark, sf_dir)
     return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (HERD,))
 
 
 @query
 def hotspot_clearing_share(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir, per_supplier=True)
+    # Flows and production share one pass.  The volume sum stays missing with a missing
+    # line, as the share asks; order lines always have a quantity.
+    lines = star.order_lines(spark, sf_dir, YEARS)
+    measures = ["volume", "ha_def", "green_m3", "blue_m3", "co2_def"]
+    sums = stage(star.supplier_sums(lines, measures, strict=["volume"]))
+    flows = star.trade(spark, sf_dir, _HOTSPOT, blocs=IMPORTERS, sums=sums)
+    bench = star.bench(_bench_production(spark, sf_dir, sums=sums), YEARS)
     return hotspot.hotspot_clearing_share(flows, bench, IMPORTERS, YEARS, SCALE)
 
 
@@ -302,15 +308,15 @@ _WATER = ["green_m3", "blue_m3"]
 _BASIN_GRAIN = ("year", "bloc", "basin", "attributed")
 
 
-def _water(spark, sf_dir, grain, sparse=False):
+def _water(spark, sf_dir, grain, where=None):
     columns = list(dict.fromkeys([*KEYS, *grain, *_WATER]))
-    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS, sparse=sparse)
+    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS, where=where)
     return water.water_long(flows, IMPORTERS, SCALE, grain)
 
 
-def _basin_water(spark, sf_dir, sparse=False):
+def _basin_water(spark, sf_dir, where=None):
     """Basin series, written once: the panel, its domain and its order all read it."""
-    return stage(_water(spark, sf_dir, _BASIN_GRAIN, sparse))
+    return stage(_water(spark, sf_dir, _BASIN_GRAIN, where))
 
 
 @query
@@ -353,8 +359,8 @@ def panel_grid(spark, sf_dir):
     return water.panel_grid(domain, YEARS, IMPORTERS)
 
 
-def _panel(spark, sf_dir, types=water.TYPES, sparse=False):
-    series = _basin_water(spark, sf_dir, sparse)
+def _panel(spark, sf_dir, types=water.TYPES, where=None):
+    series = _basin_water(spark, sf_dir, where)
     domain = water.basin_domain(series)
     return water.basin_panel(series, domain, YEARS, IMPORTERS, types, SCALE)
 
@@ -372,12 +378,12 @@ def basin_panel_blue(spark, sf_dir):
 @query
 def basin_panel_bulk(spark, sf_dir):
     """Only bulk rainfed flows: many basins are absent from a panel and filled in."""
-    return _panel(spark, sf_dir, sparse=True)
+    return _panel(spark, sf_dir, where=star.BULK)
 
 
 @query
 def missing_basins_bulk(spark, sf_dir):
-    series = _basin_water(spark, sf_dir, sparse=True)
+    series = _basin_water(spark, sf_dir, star.BULK)
     return water.missing_basins(series, water.basin_domain(series), YEARS, IMPORTERS)
 
 
@@ -389,7 +395,7 @@ def basin_order(spark, sf_dir):
 
 @query
 def ordered_panel_bulk(spark, sf_dir):
-    series = _basin_water(spark, sf_dir, sparse=True)
+    series = _basin_water(spark, sf_dir, star.BULK)
     domain = water.basin_domain(series)
     return water.ordered_panel(
         water.basin_panel(series, domain, YEARS, IMPORTERS, units=SCALE),
@@ -409,9 +415,9 @@ def blue_map_layer(spark, sf_dir):
     return layers.blue_map_layer(series, star.place(spark, sf_dir), YEARS, IMPORTERS, SCALE)
 
 
-def _layer_inputs(spark, sf_dir, coefficient, sparse=False, years=None):
+def _layer_inputs(spark, sf_dir, coefficient, where=None, years=None):
     columns = ["year", "product", "origin_id", coefficient]
-    produced = star.production(spark, sf_dir, columns, years, sparse=sparse)
+    produced = star.production(spark, sf_dir, columns, years, where)
     return produced, star.place(spark, sf_dir), MAP_YEAR
 
 
@@ -451,12 +457,12 @@ def herd_pasture_bins(spark, sf_dir):
 @query
 def crop_scarcity_bins_bulk(spark, sf_dir):
     """Production from returned bulk lines: places seen only in other years drop out."""
-    return layers.crop_scarcity_bins(*_layer_inputs(spark, sf_dir, "bwsf", sparse=True))
+    return layers.crop_scarcity_bins(*_layer_inputs(spark, sf_dir, "bwsf", star.RETURNED_BULK))
 
 
 @query
 def herd_blue_bins_bulk(spark, sf_dir):
-    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, "bwf", sparse=True))
+    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, "bwf", star.RETURNED_BULK))
 
 
 def _classes(spark, sf_dir, layer):

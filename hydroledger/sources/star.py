@@ -93,10 +93,6 @@ def _unlinked(supplier: Column) -> Column:
     return supplier % 10 == 9
 
 
-def _product() -> Column:
-    return F.when(F.col("l_linestatus") == "O", F.lit(CROP)).otherwise(F.lit(HERD))
-
-
 def _in_years(orders: DataFrame, years: Sequence[str] | None) -> DataFrame:
     """Date range of the years first, which the file scan can use, then the years."""
     if years is None:
@@ -179,6 +175,56 @@ def _with_origins(lines: DataFrame, spark, sf_dir, columns) -> DataFrame:
     return out.select(*columns)
 
 
+BULK = "l_quantity >= 50 AND (l_suppkey % 3 = 0 OR l_extendedprice * l_discount = 0)"
+RETURNED_BULK = "l_quantity >= 50 AND l_returnflag = 'R'"
+
+
+def order_lines(
+    spark: SparkSession,
+    sf_dir: str,
+    years: Sequence[str] | None = None,
+    blocs: Sequence[str] | None = None,
+    with_bloc: bool = True,
+    where: str | None = None,
+) -> DataFrame:
+    """One row per order line: year, bloc, product, supplier and measures."""
+    lines = table(spark, sf_dir, "lineitem")
+    if where is not None:
+        lines = lines.where(where)
+    measures = lines.selectExpr(
+        "l_orderkey",
+        "l_suppkey",
+        f"CASE WHEN l_linestatus = 'O' THEN '{CROP}' ELSE '{HERD}' END AS product",
+        "l_quantity AS volume",
+        "l_extendedprice AS green_m3",
+        "CASE WHEN l_suppkey % 3 = 0 THEN 0D "
+        "ELSE rint(l_extendedprice * l_discount * 1e4D) / 1e4D END AS blue_m3",
+        "rint(l_quantity * nullif(l_tax, 0D) * 1e4D) / 1e4D AS ha_def",
+        "rint(l_quantity * l_discount * 1e4D) / 1e4D AS co2_def",
+        "rint(l_quantity * l_discount * 5e3D) / 1e4D AS co2_low",
+        "rint(l_quantity * l_discount * 15e3D) / 1e4D AS co2_high",
+    )
+    orders = _order_years(spark, sf_dir, years, blocs, with_bloc or blocs is not None)
+    orders = _lookup(orders, sf_dir, "orders")
+    return measures.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def supplier_sums(
+    lines: DataFrame,
+    measures: Sequence[str],
+    keys: Sequence[str] = ("year", "bloc", "product"),
+    strict: Sequence[str] = (),
+) -> DataFrame:
+    """Order lines added up per supplier, with their number.
+
+    A measure listed as ``strict`` is missing if one of its lines is.
+    """
+    sums = {m: strict_sum(m) if m in strict else exact_sum(m) for m in measures}
+    return lines.groupBy(*keys, "l_suppkey").agg(
+        *[total.alias(m) for m, total in sums.items()], F.count("*").alias("n_lines")
+    )
+
+
 def trade(
     spark: SparkSession,
     sf_dir: str,
@@ -186,83 +232,62 @@ def trade(
     years: Sequence[str] | None = None,
     blocs: Sequence[str] | None = None,
     per_supplier: bool = True,
-    strict: Sequence[str] = (),
-    sparse: bool = False,
+    where: str | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Flow table with the named columns.
 
     ``per_supplier`` adds the lines of a supplier up first (per year, bloc and
-    product), which every operator built on sums can use; a measure listed as
-    ``strict`` is then missing if one of its lines is.  With a ``copies`` column,
-    equal volumes of a supplier are counted instead of added.  Without
-    ``per_supplier`` there is one row per order line.  ``sparse`` keeps only bulk
-    lines without blue water, to leave basins and states without flows.
+    product), which every operator built on sums can use.  With a ``copies`` column,
+    equal volumes of a supplier are counted instead.  Without ``per_supplier`` there
+    is one row per order line.  ``sums`` hands in supplier sums made before.
     """
-    key = F.col("l_suppkey")
-    quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem")
-    blue = F.when(_irrigates(key), fixed(price * F.col("l_discount"), 4)).otherwise(F.lit(0.0))
-    if sparse:
-        lines = lines.where((quantity >= 50) & (blue == 0))
-    co2 = fixed(quantity * F.col("l_discount"), 4)
-    lines = lines.select(
-        "l_orderkey",
-        "l_suppkey",
-        _product().alias("product"),
-        quantity.alias("volume"),
-        price.alias("green_m3"),
-        blue.alias("blue_m3"),
-        fixed(quantity * F.nullif(F.col("l_tax"), F.lit(0.0)), 4).alias("ha_def"),
-        co2.alias("co2_def"),
-        fixed(co2 * 0.5, 4).alias("co2_low"),
-        fixed(co2 * 1.5, 4).alias("co2_high"),
-    )
-    with_bloc = "bloc" in columns or blocs is not None
-    orders = _order_years(spark, sf_dir, years, blocs, with_bloc)
-    orders = _lookup(orders, sf_dir, "orders")
-    flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     by_supplier = {"bwf", *_SUPPLIER_COLUMNS} & set(columns)
-    if per_supplier and by_supplier:
+    if sums is not None:
+        flows = sums if blocs is None else sums.where(F.col("bloc").isin(*blocs))
+    else:
+        flows = order_lines(spark, sf_dir, years, blocs, "bloc" in columns, where)
         keys = [c for c in ("year", "bloc", "product") if c in columns]
         if "copies" in columns:
             flows = flows.groupBy(*keys, "l_suppkey", "volume").agg(F.count("*").alias("copies"))
-        else:
-            sums = {m: strict_sum(m) if m in strict else exact_sum(m) for m in _MEASURES}
-            flows = flows.groupBy(*keys, "l_suppkey").agg(
-                *[total.alias(m) for m, total in sums.items() if m in columns]
-            )
+        elif per_supplier and by_supplier:
+            flows = supplier_sums(flows, [m for m in _MEASURES if m in columns], keys)
     return _with_origins(flows, spark, sf_dir, columns)
 
 
+_PRODUCED = ("volume", "green_m3", "blue_m3", "ha_def", "co2_def")
+
+
 def production(
     spark: SparkSession,
     sf_dir: str,
     columns: Sequence[str],
     years: Sequence[str] | None = None,
-    sparse: bool = False,
+    where: str | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Production per year, product and supplier; suppliers are all linked here.
 
-    ``sparse`` keeps only returned bulk lines, to leave places observed in some
-    years only.
+    ``sums`` hands in supplier sums of all blocs made before.
     """
     key = F.col("l_suppkey")
-    lines = table(spark, sf_dir, "lineitem")
-    if sparse:
-        lines = lines.where("l_quantity >= 50 AND l_returnflag = 'R'")
-    orders = _order_years(spark, sf_dir, years, None, with_bloc=False)
-    orders = _lookup(orders, sf_dir, "orders")
-    sums = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("year", _product().alias("product"), "l_suppkey")
-        .agg(
-            exact_sum("l_quantity").alias("tonnes"),
-            exact_sum("l_extendedprice").alias("pasture_m3"),
-            exact_sum("l_extendedprice * l_discount").alias("_blue"),
-            exact_sum("l_quantity * l_tax").alias("def_ha"),
-            exact_sum("l_quantity * l_discount").alias("ghg_t"),
-            F.count("*").alias("_lines"),
+    keys = ("year", "product")
+    if sums is None:
+        lines = order_lines(spark, sf_dir, years, with_bloc=False, where=where)
+        made = supplier_sums(lines, _PRODUCED, keys)
+    else:
+        made = sums.groupBy(*keys, "l_suppkey").agg(
+            *[exact_sum(m).alias(m) for m in _PRODUCED], F.sum("n_lines").alias("n_lines")
         )
+    sums = made.selectExpr(
+        *keys,
+        "l_suppkey",
+        "volume AS tonnes",
+        "green_m3 AS pasture_m3",
+        "blue_m3 AS animal_m3",
+        "coalesce(ha_def, 0D) AS def_ha",
+        "co2_def AS ghg_t",
+        "n_lines",
     )
     tonnes = F.col("tonnes")
     irrigates = _irrigates(key)
@@ -270,19 +295,18 @@ def production(
         {
             "origin_id": F.concat(F.lit("M-"), key),
             "gwf": F.col("pasture_m3") / tonnes,
-            "bwf": F.when(irrigates, F.col("_blue") / tonnes).otherwise(F.lit(0.0)),
+            "bwf": F.col("animal_m3") / tonnes,
             "def_per_t": F.col("def_ha") / tonnes,
             "co2_per_t": F.col("ghg_t") / tonnes,
             "planted_ha": tonnes * 0.5,
             "irrigated_ha": F.when(irrigates, F.col("ghg_t")).otherwise(F.lit(0.0)),
             "live_kg": tonnes * 1000,
             "pasture_ha": tonnes * 2,
-            "animal_m3": F.when(irrigates, F.col("_blue")).otherwise(F.lit(0.0)),
             "reservoir_m3": F.col("pasture_m3") * 0.25,
             "water_ha": tonnes * 0.125,
             "co2_high_kg": F.col("ghg_t") * 1500,
             "co2_low_kg": F.col("ghg_t") * 500,
-            "stock": F.when(F.col("_lines") > 1, tonnes / F.col("_lines")),
+            "stock": F.when(F.col("n_lines") > 1, tonnes / F.col("n_lines")),
         }
     ).withColumns(
         {
