@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nz_sum, r_round, percent, strict_sum
+from ..functions import nz_sum, percent, r_round, strict_sum
 from .model import NATIONAL, Units, is_crop, r_round_by_product
 from .summary import of_blocs
 

@@ -12,8 +12,8 @@ from ..functions import (
     descending,
     distinct_with_missing,
     nz_sum,
-    r_round,
     percent,
+    r_round,
     strict_sum,
 )
 from .model import (

@@ -19,6 +19,12 @@ from ..functions import ascending, from_units, to_units
 from ..plans.staging import stage
 
 PART = "_part"
+GROUP = "_group"
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one value, which is never missing: a missing key is a group too."""
+    return df.withColumn(GROUP, F.struct(*keys))
 
 
 def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -51,30 +57,29 @@ def running_total(
     def added(x: Column) -> Column:
         return F.coalesce(F.sum(x).cast("decimal(30,0)"), zero)
 
-    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    parts = _grouped(parts, keys)
+    earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     # One row per (group, part): as many as there are parts, plus the groups.
     offsets = (
-        parts.groupBy(*keys, PART)
+        parts.groupBy(GROUP, PART)
         .agg(added(units).alias("_here"), added(F.greatest(units, zero)).alias("_gain"))
         .withColumn("_before", F.coalesce(F.sum("_here").over(earlier), zero))
     )
     if groups is not None:
-        offsets = offsets.join(groups, list(keys))
+        offsets = offsets.join(_grouped(groups, keys).drop(*keys), GROUP)
     if keep is not None:
         before, reach = F.col("_before"), F.col("_before") + F.col("_gain")
         offsets = offsets.where(keep(from_units(before, places), from_units(reach, places)))
     inside = (
-        Window.partitionBy(*keys, PART)
+        Window.partitionBy(GROUP, PART)
         .orderBy(*[ascending(F.col(c)) for c in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = F.col("_before") + F.coalesce(F.sum(units).over(inside), zero)
     return (
-        parts.join(offsets.drop("_here", "_gain"), [*keys, PART])
+        parts.join(offsets.drop("_here", "_gain"), [GROUP, PART])
         .withColumn(out, from_units(upto, places))
-        .drop("_before", PART)
+        .drop("_before", GROUP, PART)
     )
 
 

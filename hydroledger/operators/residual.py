@@ -46,7 +46,7 @@ def state_domestic_residual(production: DataFrame, exports: DataFrame) -> DataFr
     """What stays in the country per year and state; may be negative.
 
     A row whose coefficient is missing adds nothing; a state without exports
-    keeps its whole production.
+    keeps its whole production.  An unnamed state matches an unnamed state.
     """
     produced = (
         production.where(F.col("product") == HERD)
@@ -56,7 +56,10 @@ def state_domestic_residual(production: DataFrame, exports: DataFrame) -> DataFr
             *[nz_sum(f"{c} * tonnes").alias(f"{name}_all") for name, (_, c) in RESIDUALS.items()],
         )
     )
-    return produced.join(exports, ["year", "state_code"], "left").select(
+    out = exports.withColumnsRenamed({"year": "_year", "state_code": "_state"})
+    same_state = F.col("state_code").eqNullSafe(F.col("_state"))
+    same = F.col("year").eqNullSafe(F.col("_year")) & same_state
+    return produced.join(out, same, "left").select(
         "year",
         "state_code",
         "produced",

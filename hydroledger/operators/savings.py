@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ascending, descending, nz_sum, r_round, percent, signif_sql
+from ..functions import ascending, descending, nz_sum, percent, r_round, signif_sql
 from ..plans.lookups import bound, lookup
 from .model import ABOVE_WF, NATIONAL, PRODUCTS, Units, by_product, by_product_sql, of_years
 from .ordered import exact_median

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import descending, na_if_else_sql, nz_sum, r_round, percent, strict_sum
+from ..functions import descending, na_if_else_sql, nz_sum, percent, r_round, strict_sum
 from .model import (
     CROP,
     HERD,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nz_sum, r_round, percent, ratio, strict_sum
+from ..functions import nz_sum, percent, r_round, ratio, strict_sum
 from .model import CROP, NATIONAL, PRODUCTS, Units, by_product_sql, of_years
 from .ordered import range_parts, running_total
 from .summary import KEYS, irrigated_volume, of_blocs

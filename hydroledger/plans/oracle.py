@@ -544,7 +544,8 @@ ORACLE |= {
     "water_by_colour": _with(
         _TRADE,
         select=f"""SELECT year, bloc, product, colour, {_total("m3")} AS water_m3
-FROM (SELECT year, bloc, product, 'Green' AS colour, cast(green_m3 AS decimal(24,4)) AS m3 FROM trade
+FROM (SELECT year, bloc, product, 'Green' AS colour, cast(green_m3 AS decimal(24,4)) AS m3
+      FROM trade
       UNION ALL SELECT year, bloc, product, 'Blue', blue_m3 FROM trade)
 WHERE m3 <> 0 GROUP BY 1, 2, 3, 4""",
     ),

@@ -127,11 +127,15 @@ def test_residual_plus_exports_is_production(spark, rows):
             ("2015", "Beef", "M-2", 1, 4.0, 1.0, None, 0.5, 0.1, 1.0, 0.5, 1.5),
             ("2015", "Beef", "M-3", 2, 8.0, 1.0, 3.0, 0.25, 0.2, 1.0, 0.5, 1.5),
             ("2015", "Soy", "M-3", 3, 8.0, 1.0, 3.0, 0.25, 0.2, 1.0, 0.5, 1.5),
+            ("2015", "Beef", "M-4", None, 9.0, 1.0, 1.0, 0.25, 0.2, 1.0, 0.5, 1.5),
         ],
         PRODUCED,
     )
     out = spark.createDataFrame(
-        [("2015", "Beef", 1, 16.0, 5.0, 1.0, 0.5, 0.25, 0.75, 1.0)],
+        [
+            ("2015", "Beef", 1, 16.0, 5.0, 1.0, 0.5, 0.25, 0.75, 1.0),
+            ("2015", "Beef", None, 4.0, 5.0, 1.0, 0.5, 0.25, 0.75, 1.0),
+        ],
         "year string, product string, state_code int, volume double, green_m3 double, "
         "blue_m3 double, co2_def double, co2_low double, co2_high double, ha_def double",
     )
@@ -139,7 +143,8 @@ def test_residual_plus_exports_is_production(spark, rows):
         r["state_code"]: r
         for r in rows(residual.state_domestic_residual(produced, residual.state_exports(out)))
     }
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2, None}
+    assert got[None]["volume"] == 5.0
     assert (got[1]["produced"], got[1]["volume"]) == (14.0, -2.0)  # may be negative
     assert got[1]["green_m3"] == 20.0 - 5.0  # the missing coefficient adds nothing
     assert (got[2]["volume"], got[2]["green_m3"]) == (8.0, 24.0)  # nothing exported

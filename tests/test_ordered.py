@@ -37,7 +37,7 @@ def skewed(n=3000, seed=1):
     rng = random.Random(seed)
     data = []
     for i in range(n):
-        key = "hot" if rng.random() < 0.7 else rng.choice(["a", "b"])
+        key = "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])
         order = rng.choice([0.0, float(rng.randint(0, 40)), rng.random() * 100])
         order = None if rng.random() < 0.1 else order
         value = None if rng.random() < 0.05 else rng.randint(0, 500) / 100
@@ -98,6 +98,7 @@ def test_median_matches_brute_force(spark, many_parts, seed):
         value = 7.25 if rng.random() < 0.33 else rng.random() * 20
         data.append((key, None if rng.random() < 0.05 else value))
     data += [("single", 3.5), ("pair", 1.0), ("pair", 4.0), ("none", None)]
+    data += [(None, 1.5), (None, 2.5)]  # a missing key is a group of its own
     df = spark.createDataFrame(data, "k string, x double")
     got = {r.k: r.m for r in exact_median(df, ["k"], "x", "m").collect()}
     values = defaultdict(list)

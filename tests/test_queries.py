@@ -75,7 +75,7 @@ def test_plan_shape(plans, settings, name):
             assert node not in plan
         for line in plan.splitlines():
             if " Window [" in line and "origin_id" in line:
-                assert "_part" in line  # never one task per group
+                assert "_group" in line and "_part" in line  # never one task per group
 
 
 def test_filters_and_columns_reach_the_scan(plans):
