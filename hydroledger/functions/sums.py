@@ -2,8 +2,9 @@
 
 Adding doubles gives different last bits for every shuffle layout.  Here each
 value becomes a whole number of micro-units first.  The high and low halves are
-summed as BIGINT, which stays in generated code and cannot overflow before
-2^39 rows of one group; the halves meet in a decimal once per group.
+summed as BIGINT, which stays in generated code and holds 2^39 rows of one group
+with values up to 2.8e8 (or fewer rows with larger values; beyond that Spark's ANSI
+mode fails instead of wrapping).  The halves meet in a decimal once per group.
 """
 
 from __future__ import annotations
