@@ -227,12 +227,17 @@ def drop_contaminated(
     """The rows of ``docs`` that repeat no benchmark item, with all their columns."""
     kept = docs
     for items in _slices(benchmark, slice_words):
+        kept = kept.where(_clean(items)(F.col("text").cast("string")))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            index, cache = Index(items), WordHashes(_token)
-            for texts in batches:
-                yield pd.Series([not index.overlaps(_document(cache, x)) for x in texts], dtype=bool)
 
-        kept = kept.where(clean(F.col("text").cast("string")))
-    return kept
+def _clean(items: list[tuple[int, str]]):
+    """A column function: whether a text repeats none of ``items``."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, cache = Index(items), WordHashes(_token)
+        for texts in batches:
+            yield pd.Series([not index.overlaps(_document(cache, x)) for x in texts], dtype=bool)
+
+    return clean
