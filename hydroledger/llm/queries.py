@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packed_ids, simhash_ball, spaced_seeds, toxicity
+from . import license_scan, mil_quality, mixing, packed_ids, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
@@ -33,12 +37,20 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.quality(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_mixing": op3_mixing,
     "op4_simhash_ball": op4_simhash_ball,
     "op5_toxicity": op5_toxicity,
     "op7_packed_ids": op7_packed_ids,
     "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_mil_quality": op10_mil_quality,
 }
 #: SQL can express none of them as they stand: hashing, drawing and learning are tested instead.
 ORACLE: dict[str, str] = {}
