@@ -26,6 +26,8 @@ BANDS = 32
 ROWS = 1
 #: Largest number of shingles of a template in each size class.
 CLASSES = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Words that are scanned together, so that their hashes stay in the processor's cache.
+GROUP_WORDS = 8_192
 SCHEMA = (
     "doc_id long, license string, start_word int, n_words int, containment double, "
     "matched_text string"
@@ -151,12 +153,13 @@ class Scanner:
 
     def _candidates(self, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first shingle, shingles, template) of the windows that share a band with it."""
+        widest = max((size for size, *_ in self.classes), default=0)
         n = len(shingles)
+        # Filled up at the end, so that the last windows are whole.
+        shingles = np.append(shingles, np.full(2 * widest, shingles[-1], np.uint64))
         doubled = {1: self._hashes(shingles)}
         bands = np.arange(self.bands)[:, None]
         for size, stride, marks, table in self.classes:
-            size = min(size, n)
-            starts = np.unique(np.append(np.arange(0, n - size + 1, stride), n - size))
             half = 1 << (size.bit_length() - 1)
             width = 1
             while width < half:
@@ -164,47 +167,69 @@ class Scanner:
                     x = doubled[width]
                     doubled[2 * width] = np.minimum(x[:, :-width], x[:, width:])
                 width *= 2
-            x = doubled[half]
-            keys = self._keys(np.minimum(x[:, starts], x[:, starts + size - half]))
+            x, skip = doubled[half], size - half
+            keys = self._keys(
+                np.minimum(x[:, 0:n:stride], x[:, skip : n + skip : stride])
+            )
             band, window = np.nonzero(marks[bands, keys >> np.uint32(16)])
             found = {
-                (int(starts[w]), size, i)
+                (w * stride, size, i)
                 for b, w in zip(band.tolist(), window.tolist())
                 for i in table.get((b, int(keys[b, w])), ())
             }
             yield from sorted(found)
 
-    def scan(self, text: str | None) -> list[tuple[str, int, int, float, str]]:
-        """(license, first word, words, containment, text) of each stretch that matches.
+    def scan(self, texts: list[str | None]) -> Iterator[tuple]:
+        """(number of the text, license, first word, words, containment, matched text).
 
-        Of windows of one template that overlap, the fullest and then the first counts.
+        Of windows of one template that overlap in a text, the fullest and then the first
+        counts.  The texts are scanned in groups, one after the other in one array.
         """
-        text = text or ""
-        words = self.cache.array(text.lower().split())
-        kept = np.flatnonzero(words)
-        shingles = _shingles(words[kept])
+        group: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held = 0
+        for number, text in enumerate(texts):
+            words = self.cache.array((text or "").lower().split())
+            kept = np.flatnonzero(words)
+            group.append((number, words[kept], kept))
+            held += len(kept)
+            if held >= GROUP_WORDS:
+                yield from self._scan_group(group, texts)
+                group, held = [], 0
+        yield from self._scan_group(group, texts)
+
+    def _scan_group(self, group: list, texts: list[str | None]) -> Iterator[tuple]:
+        bounds = np.cumsum([0] + [len(w) for _, w, _ in group])
+        shingles = _shingles(np.concatenate([w for _, w, _ in group] or [np.zeros(0, np.uint64)]))
         if not len(shingles) or not self.sets:
-            return []
-        hits: dict[int, list[tuple[float, int, int]]] = {}
+            return
+        hits: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         for start, size, i in self._candidates(shingles):
-            window = shingles[start : start + size]
-            inside = np.flatnonzero(np.isin(window, self.sets[i]))
-            share = len(np.unique(window[inside])) / len(self.sets[i])
-            if share >= CONTAINMENT:
-                first, last = start + int(inside[0]), start + int(inside[-1]) + SHINGLE - 1
-                hits.setdefault(i, []).append((-share, int(kept[first]), int(kept[last])))
-        if not hits:
-            return []
-        spans = [m.span() for m in re.finditer(r"\S+", text)]
+            # The window's part in each text that it touches.
+            doc = int(np.searchsorted(bounds, start, "right")) - 1
+            while doc < len(group) and bounds[doc] < start + size:
+                low = max(start, int(bounds[doc]))
+                high = min(start + size, int(bounds[doc + 1]) - SHINGLE + 1)
+                inside = np.flatnonzero(np.isin(shingles[low:high], self.sets[i])) if low < high else ()
+                if len(inside):
+                    share = len(np.unique(shingles[low:high][inside])) / len(self.sets[i])
+                    if share >= CONTAINMENT:
+                        kept, base = group[doc][2], low - int(bounds[doc])
+                        first = int(kept[base + int(inside[0])])
+                        last = int(kept[base + int(inside[-1]) + SHINGLE - 1])
+                        hits.setdefault((doc, i), []).append((-share, first, last))
+                doc += 1
         rows = []
-        for i, found in hits.items():
+        for (doc, i), found in hits.items():
+            number = group[doc][0]
+            text = texts[number]
+            spans = [m.span() for m in re.finditer(r"\S+", text)]
             taken: list[tuple[int, int]] = []
             for share, a, b in sorted(found):
                 if all(b < x or a > y for x, y in taken):
                     taken.append((a, b))
                     piece = text[spans[a][0] : spans[b][1]]
-                    rows.append((self.names[i], a, b - a + 1, -share, piece))
-        return sorted(rows, key=lambda r: (r[1], r[0]))
+                    rows.append((number, self.names[i], a, b - a + 1, -share, piece))
+        yield from sorted(rows, key=lambda r: (r[0], r[2], r[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -221,11 +246,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         scanner = Scanner(given)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [
-                (doc_id, *hit)
-                for doc_id, text in zip(batch["doc_id"], batch["text"])
-                for hit in scanner.scan(text)
-            ]
+            ids = batch["doc_id"].tolist()
+            rows = [(ids[number], *hit) for number, *hit in scanner.scan(batch["text"].tolist())]
             yield pd.DataFrame(rows, columns=names).astype(
                 {"doc_id": "Int64", "containment": "float64"}
             )

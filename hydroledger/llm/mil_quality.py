@@ -36,9 +36,10 @@ _ENDS = ".,;:!?"
 def _shape(word: str) -> int:
     """A word's bucket and surface, packed: bucket, letters, digits, capitals, marks, length."""
     length = min(len(word), 255)
-    letters = min(sum(c.isalpha() for c in word), 255)
-    digits = min(sum(c.isdigit() for c in word), 255)
-    capitals = min(sum(c.isupper() for c in word), 255)
+    plain, lower = word.isalpha(), word.islower()
+    letters = length if plain else min(sum(map(str.isalpha, word)), 255)
+    digits = 0 if plain else min(sum(map(str.isdigit, word)), 255)
+    capitals = 0 if lower else min(sum(map(str.isupper, word)), 255)
     ends = int(word[-1] in _ENDS)
     bare = word.strip(_ENDS).lower()
     key = bare if len(bare) < 5 else "".join(sorted({c for c in bare if not c.isalnum()})) or "w"
@@ -224,9 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
     return bytes(found[0][0]) if found else _flat(train([]))
 
 
-def score_passages(p: Weights, x: np.ndarray) -> float:
-    logit, _ = forward(p, x.astype(np.float64), np.array([0]))
-    return float(1 / (1 + np.exp(-np.clip(logit[0], -35, 35))))
+def _scores(p: Weights, bags: list[np.ndarray]) -> list[float]:
+    """Scores of bags, in groups of some thousand passages."""
+    found: list[float] = []
+    group, held = [], 0
+    for i, bag in enumerate(bags):
+        group.append(bag)
+        held += len(bag)
+        if held >= 4096 or i == len(bags) - 1:
+            starts = np.cumsum([0] + [len(x) for x in group[:-1]])
+            logit, _ = forward(p, np.concatenate(group).astype(np.float64), starts)
+            found += (1 / (1 + np.exp(-np.clip(logit, -35, 35)))).tolist()
+            group, held = [], 0
+    return found
 
 
 def with_score(docs: DataFrame, weights: bytes, out: str = "score") -> DataFrame:
@@ -236,7 +247,7 @@ def with_score(docs: DataFrame, weights: bytes, out: str = "score") -> DataFrame
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p, words = _shaped(weights), WordHashes(_shape)
         for texts in batches:
-            yield pd.Series([score_passages(p, encode(x, words)) for x in texts], dtype="float64")
+            yield pd.Series(_scores(p, [encode(x, words) for x in texts]), dtype="float64")
 
     return docs.withColumn(out, score(F.col("text").cast("string")))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, mil_quality, mixing, packed_ids, simhash_ball, spaced_seeds, toxicity
+from . import lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
@@ -12,6 +13,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lbl_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "packed-ids")
     return packed_ids.encode_documents(read_table(spark, sf_dir, "documents"), folder)
@@ -45,9 +55,11 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_permutation_index": op2_permutation_index,
     "op3_mixing": op3_mixing,
     "op4_simhash_ball": op4_simhash_ball,
     "op5_toxicity": op5_toxicity,
+    "op6_lbl_model": op6_lbl_model,
     "op7_packed_ids": op7_packed_ids,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_mil_quality": op10_mil_quality,

@@ -36,6 +36,8 @@ MASKS = (
     "#...##.##..##",
     "..####.###...",
 )
+#: Words that are compared together, so that their hashes stay in the processor's cache.
+GROUP_WORDS = 16_384
 SPANS_SCHEMA = (
     "item_id long, doc_start int, item_start int, n_words int, n_equal int, similarity double"
 )
@@ -52,7 +54,7 @@ def words_of(text: str | None) -> list[str]:
 def _coefficients(mask: int, count: int) -> np.ndarray:
     """Odd multipliers; each mask and length has its own, so that their hashes don't mix."""
     rng = np.random.default_rng([mask, count])
-    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 @dataclass(frozen=True)
@@ -64,14 +66,16 @@ class Seed:
     span: int
 
     def hashes(self, words: np.ndarray) -> np.ndarray:
+        """Hash at each start, from 32-bit words."""
         count = len(words) - self.span + 1
         if count <= 0:
-            return np.zeros(0, np.uint64)
-        total = np.zeros(count, np.uint64)
-        for at, by in zip(self.at, self.by):
+            return np.zeros(0, np.uint32)
+        total = words[self.at[0] : self.at[0] + count] * self.by[0]
+        for at, by in zip(self.at[1:], self.by[1:]):
             total += words[at : at + count] * by
-        total ^= total >> np.uint64(32)
-        return total * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint32(15)
+        total *= np.uint32(0x9E3779B1)
+        return total
 
 
 def seeds_for(lengths: set[int]) -> list[Seed]:
@@ -101,12 +105,12 @@ class Index:
                     seed.span < SPAN and len(words) != seed.span
                 ):
                     continue
-                found = seed.hashes(words)
+                found = seed.hashes(words.astype(np.uint32))
                 hashes.append(found)
                 numbers.append(np.full(len(found), k, np.int64))
                 places.append(np.arange(len(found)))
         empty = np.zeros(0, np.int64)
-        self.hashes = np.concatenate(hashes or [empty.astype(np.uint64)])
+        self.hashes = np.concatenate(hashes or [empty.astype(np.uint32)])
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
         self.numbers = np.concatenate(numbers or [empty])[order]
@@ -116,34 +120,40 @@ class Index:
 
     @staticmethod
     def _bucket(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        return hashes >> np.uint32(32 - _FILTER_BITS)
 
-    def diagonals(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item number, document start minus item start) of all seed hits."""
-        found = []
+    def diagonals(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, item number, document start minus item start) of all seed hits.
+
+        ``bounds`` are the documents' starts in ``words`` and its end.
+        """
+        found, short = [], words.astype(np.uint32)
         for seed in self.seeds:
-            hashes = seed.hashes(words)
+            hashes = seed.hashes(short)
             at = np.flatnonzero(self.filter[self._bucket(hashes)])
             if not len(at):
                 continue
             low = np.searchsorted(self.hashes, hashes[at], "left")
-            high = np.searchsorted(self.hashes, hashes[at], "right")
-            count = high - low
+            count = np.searchsorted(self.hashes, hashes[at], "right") - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
             if not len(at):
                 continue
             hit = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            pairs = np.stack((self.numbers[hit], np.repeat(at, count) - self.places[hit]), 1)
-            found.append(np.unique(pairs, axis=0))
+            at = np.repeat(at, count)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            shift = at - bounds[doc] - self.places[hit]
+            found.append(np.unique(np.stack((doc, self.numbers[hit], shift), 1), axis=0))
         if not found:
             return []
         return [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()]
 
-    def overlaps(self, words: np.ndarray) -> list[tuple]:
-        """Rows of SPANS_SCHEMA: maximal stretches of windows that pass, on each diagonal."""
+    def overlaps(self, documents: list[np.ndarray]) -> list[tuple]:
+        """(document, rows of SPANS_SCHEMA): maximal stretches of passing windows per diagonal."""
         rows = []
-        for number, shift in self.diagonals(words):
-            item = self.words[number]
+        bounds = np.cumsum([0] + [len(d) for d in documents])
+        together = np.concatenate(documents or [np.zeros(0, np.uint64)])
+        for doc, number, shift in self.diagonals(together, bounds):
+            item, words = self.words[number], documents[doc]
             first = max(0, -shift)
             last = min(len(item), len(words) - shift)
             equal = item[first:last] == words[first + shift : last + shift]
@@ -153,12 +163,24 @@ class Index:
                 continue
             sums = np.concatenate(([0], np.cumsum(equal)))
             good = np.flatnonzero(sums[span:] - sums[:-span] >= need)
-            for run in np.split(good, np.flatnonzero(np.diff(good) > span) + 1) if len(good) else []:
+            if not len(good):
+                continue
+            for run in np.split(good, np.flatnonzero(np.diff(good) > span) + 1):
                 a, b = int(run[0]), int(run[-1]) + span
                 same = int(sums[b] - sums[a])
-                rows.append(
-                    (self.ids[number], first + shift + a, first + a, b - a, same, same / (b - a))
-                )
+                place = (first + shift + a, first + a, b - a, same, same / (b - a))
+                rows.append((doc, self.ids[number], *place))
+        return rows
+
+    def scan(self, texts: list[str | None], cache: WordHashes) -> list[tuple]:
+        """(number of the text, rows of SPANS_SCHEMA) of all texts, compared in groups."""
+        rows, group, first, held = [], [], 0, 0
+        for number, text in enumerate(texts):
+            group.append(_document(cache, text))
+            held += len(group[-1])
+            if held >= GROUP_WORDS or number == len(texts) - 1:
+                rows += [(first + doc, *row) for doc, *row in self.overlaps(group)]
+                group, first, held = [], number + 1, 0
         return rows
 
 
@@ -192,12 +214,9 @@ def overlaps(
         def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
             index, cache = Index(items), WordHashes(_token)
             for batch in batches:
-                rows = [
-                    (doc_id, *row)
-                    for doc_id, text in zip(batch["doc_id"], batch["text"])
-                    for row in index.overlaps(_document(cache, text))
-                ]
-                yield _frame(rows)
+                ids = batch["doc_id"].tolist()
+                found = index.scan(batch["text"].tolist(), cache)
+                yield _frame([(ids[number], *row) for number, *row in found])
 
         part = thin.mapInPandas(run, f"doc_id long, {SPANS_SCHEMA}")
         found = part if found is None else found.union(part)
@@ -238,6 +257,8 @@ def _clean(items: list[tuple[int, str]]):
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index, cache = Index(items), WordHashes(_token)
         for texts in batches:
-            yield pd.Series([not index.overlaps(_document(cache, x)) for x in texts], dtype=bool)
+            passing = np.ones(len(texts), bool)
+            passing[[number for number, *_ in index.scan(texts.tolist(), cache)]] = False
+            yield pd.Series(passing)
 
     return clean
