@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
+from . import html_blocks, lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
@@ -41,6 +41,10 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.encode_documents(read_table(spark, sf_dir, "documents"), folder)
 
 
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_lbl_model": op6_lbl_model,
     "op7_packed_ids": op7_packed_ids,
+    "op8_html_blocks": op8_html_blocks,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_mil_quality": op10_mil_quality,
 }
