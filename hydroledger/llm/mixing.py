@@ -56,27 +56,29 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def _text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
+def _row_key() -> Column:
+    """A number for doc_id, source and text, which is never missing."""
+    return F.xxhash64(
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    )
 
 
 def _copy_number() -> Column:
     """Tells rows apart that repeat doc_id, source and text."""
-    same = Window.partitionBy("doc_id", "source", "_hash").orderBy("_hash")
-    return F.row_number().over(same)
+    return F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, _hash, _copy, size and ``start``: words of its source before each row."""
+    """doc_id, source, _key, _copy, size and ``start``: words of its source before each row."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        _text_hash().alias("_hash"),
+        _row_key().alias("_key"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0))
         .cast("long")
         .alias("size"),
     ).withColumn("_copy", _copy_number())
-    placed = starts_in_order(sized, ["source"], ["doc_id", "_hash", "_copy"], "size", "start")
+    placed = starts_in_order(sized, ["source"], ["doc_id", "_key", "_copy"], "size", "start")
     return checkpointed(placed)
 
 
@@ -209,7 +211,8 @@ def mix(placed: DataFrame, sources: DataFrame) -> DataFrame:
     """The mix: shard, slot, source, epoch, block, and the doc_id, start, words of its pieces."""
     wanted = slots(shard_counts(sources)).withColumn("_source", F.struct("source")).drop("source")
     held = pieces(placed).withColumn("_source", F.struct("source"))
-    return held.join(wanted, ["_source", "block"]).drop("_source")
+    # Before they are exploded, the slots look small enough to broadcast; they aren't.
+    return held.join(wanted.hint("merge"), ["_source", "block"]).drop("_source")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -266,7 +269,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     its own doc_id; one of which nothing is taken does not come.
     """
     placed = packed(docs)
-    row = ["doc_id", "source", "_hash", "_copy"]
     taken = (
         mix(placed, targets(placed))
         .groupBy(F.struct("source").alias("_source"), "start", "epoch")
@@ -276,7 +278,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         placed.where("size > 0")
         .withColumn("_source", F.struct("source"))
         .join(taken, ["_source", "start"])
-        .select(F.struct(*row).alias("_row"), "_runs")
+        .select("_key", F.col("_copy").alias("_number"), "_runs")
     )
 
     @F.pandas_udf("string")
@@ -286,14 +288,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             dtype=object,
         )
 
-    keyed = docs.withColumn("_hash", _text_hash()).withColumn("_copy", _copy_number())
-    keys = F.struct(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        "_hash",
-        "_copy",
-    )
-    mixed = keyed.withColumn("_row", keys).join(named, "_row")
+    # The copies are numbered and joined after one shuffle by key.
+    keyed = docs.withColumn("_key", _row_key()).withColumn("_copy", _copy_number())
+    mixed = keyed.join(named, "_key").where(F.col("_copy") - F.col("_number") == 0)
     mixed = mixed.withColumn("text", cut(F.col("text").cast("string"), "_runs"))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
