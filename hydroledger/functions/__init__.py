@@ -19,10 +19,11 @@ from .sums import (
     exact_mean,
     exact_sum,
     fixed,
-    from_units,
+    exact,
+    nz_exact_sum,
     nz_sum,
+    strict_exact_sum,
     strict_sum,
-    to_units,
 )
 
 __all__ = [
@@ -33,7 +34,9 @@ __all__ = [
     "exact_mean",
     "exact_sum",
     "fixed",
-    "from_units",
+    "exact",
+    "nz_exact_sum",
+    "strict_exact_sum",
     "is_member",
     "missing_or_equal",
     "na_concat",
@@ -47,5 +50,4 @@ __all__ = [
     "signif",
     "signif_sql",
     "strict_sum",
-    "to_units",
 ]

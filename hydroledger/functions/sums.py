@@ -1,10 +1,15 @@
 """Sums that do not depend on row order, partitioning or task retries.
 
-Adding doubles gives different last bits for every shuffle layout.  Here each
-value becomes a whole number of micro-units first.  The high and low halves are
-summed as BIGINT, which stays in generated code and holds 2^39 rows of one group
-with values up to 2.8e8 (or fewer rows with larger values; beyond that Spark's ANSI
-mode fails instead of wrapping).  The halves meet in a decimal once per group.
+Adding doubles gives different last bits for every shuffle layout.  Here values are added
+as decimals: a double counts as the shortest decimal that reads back as it, to 18
+places.  A partial sum stays a DECIMAL(38,18) column, so that a sum of partial sums is
+the sum of the rows; it becomes a double only where it is reported.  Totals may reach
+1e20; beyond that, and for a value too small for the places, the job fails instead of
+wrapping or rounding to zero.
+
+Where a measure's decimals are known (``places``), the same sum is taken over whole
+numbers: high and low halves as BIGINT, which stay in generated code, meet in a decimal
+once per group.  A value with more decimals than declared fails the job.
 """
 
 from __future__ import annotations
@@ -14,62 +19,89 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLACES = 6
+#: Type of partial sums.
+EXACT = "decimal(38,18)"
+_LEAST = "1e-18D"
+# A counted value times a count of equal rows fits decimal(38,12) without loss.
+_COUNTED, _COPIES = "decimal(24,12)", "decimal(13,0)"
 _LOW_BITS = 24
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
 
-def to_units(x: Column, places: int = PLACES) -> Column:
-    """Value as a BIGINT count of 10^-places."""
-    return F.rint(x * float(10**places)).cast("bigint")
-
-
-def from_units(units: Column, places: int = PLACES) -> Column:
-    """Back from a whole-number decimal to the nearest double."""
-    if places == 0:
-        return units.cast("double")
-    step = F.lit(Decimal(1).scaleb(-places))
-    return (units.cast("decimal(30,0)") * step).cast("double")
-
-
 def fixed(x: Column, places: int) -> Column:
     """Double nearest to ``x`` rounded to ``places`` decimals."""
     scale = float(10**places)
     return F.rint(x * scale) / scale
 
 
-def exact_sum(x: str, copies: str | None = None) -> Column:
-    """Sum of a column or SQL expression, skipping missing values.
+def exact(x: Column | str) -> Column:
+    """A value as an exact decimal, ready to be added up."""
+    return (F.col(x) if isinstance(x, str) else x).cast(EXACT)
 
-    Missing when there is nothing to add.  ``copies`` names a column telling how many
-    equal rows each row stands for.
+
+def exact_sum(x: str, places: int | None = None) -> Column:
+    """Sum of a column or SQL expression as a decimal, skipping missing values.
+
+    Missing when there is nothing to add.  ``places`` declares a double's decimals.
     """
-    return F.expr(_exact_sum_sql(x, copies))
+    return F.expr(_sum_sql(x, places))
+
+
+def nz_exact_sum(x: str, places: int | None = None) -> Column:
+    """Sum as a decimal, zero when there is nothing to add."""
+    return F.expr(f"coalesce({_sum_sql(x, places)}, cast(0 AS {EXACT}))")
 
 
 def nz_sum(x: str, copies: str | None = None) -> Column:
-    """Sum skipping missing values; zero when there is nothing to add."""
-    return F.expr(f"coalesce({_exact_sum_sql(x, copies)}, 0D)")
+    """Sum as a double, skipping missing values; zero when there is nothing to add.
+
+    ``copies`` names a column telling how many equal rows each row stands for.
+    """
+    total = _counted_sql(x, copies) if copies else _sum_sql(x)
+    return F.expr(f"coalesce(cast({total} AS double), 0D)")
+
+
+def _sum_sql(x: str, places: int | None = None) -> str:
+    if places is None:
+        value = f"cast({x} AS {EXACT})"
+        if x.isidentifier():
+            small = f"raise_error('{x}: a value is too small for 18 decimal places')"
+            value = f"CASE WHEN abs({x}) < {_LEAST} AND {x} != 0 THEN {small} ELSE {value} END"
+        return f"sum({value})"
+    scaled = f"({x} * 1e{places}D)"
+    units = f"cast(rint({scaled}) AS bigint)"
+    high = f"cast(sum(shiftright({units}, {_LOW_BITS})) AS decimal(28,0))"
+    low = f"cast(sum({units} & {_LOW_MASK}L) AS decimal(28,0))"
+    whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(28,0))"
+    # Far below half a unit, far above what a double leaves of the decimals.
+    finer = f"max(abs({scaled} - rint({scaled}))) > 1e-2D"
+    fail = f"raise_error('more than {places} decimal places in: {x}')"
+    step = f"{Decimal(1).scaleb(-places):f}BD"
+    return f"cast(CASE WHEN {finer} THEN {fail} ELSE {whole} * {step} END AS {EXACT})"
+
+
+def _counted_sql(x: str, copies: str) -> str:
+    return f"sum(cast({x} AS {_COUNTED}) * cast({copies} AS {_COPIES}))"
+
+
+def _strict_sql(x: str, rows: str, places: int | None = None) -> str:
+    kept = x if rows == "true" else f"CASE WHEN {rows} THEN {x} END"
+    return f"CASE WHEN count({kept}) = count_if({rows}) THEN {_sum_sql(kept, places)} END"
 
 
-def _exact_sum_sql(x: str, copies: str | None = None) -> str:
-    times = f" * {copies}" if copies else ""
-    units = f"cast(rint(({x}) * 1e{PLACES}D) AS bigint)"
-    high = f"cast(sum(shiftright({units}, {_LOW_BITS}){times}) AS decimal(28,0))"
-    low = f"cast(sum(({units} & {_LOW_MASK}L){times}) AS decimal(28,0))"
-    whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(30,0))"
-    return f"cast({whole} * {Decimal(1).scaleb(-PLACES):f}BD AS double)"
+def strict_exact_sum(x: str, places: int | None = None) -> Column:
+    """Sum as a decimal that is missing as soon as one value is missing."""
+    return F.expr(_strict_sql(x, "true", places))
 
 
 def strict_sum(x: str, rows: str = "true") -> Column:
-    """Sum that is missing as soon as one value (among ``rows``) is missing."""
-    kept = f"CASE WHEN {rows} THEN {x} END"
-    return F.expr(f"CASE WHEN count({kept}) = count_if({rows}) THEN {_exact_sum_sql(kept)} END")
+    """Sum as a double that is missing as soon as one value (among ``rows``) is missing."""
+    return F.expr(f"cast({_strict_sql(x, rows)} AS double)")
 
 
 def exact_mean(x: str) -> Column:
     """Mean of the values present; missing when there are none."""
-    return F.expr(f"try_divide({_exact_sum_sql(x)}, count({x}))")
+    return F.expr(f"try_divide(cast({_sum_sql(x)} AS double), count({x}))")
 
 
 def distinct_with_missing(x: str, rows: str = "true") -> Column:

@@ -16,6 +16,7 @@ from ..functions import (
     r_round,
     strict_sum,
 )
+from ..plans.lookups import require_unique
 from .model import (
     ABOVE_DEF,
     ABOVE_WSF,
@@ -49,10 +50,12 @@ def hotspot_origins(
     """Single flows from hotspot origins.
 
     ``coefficient`` names a per-tonne column found in both tables that must agree as
-    well, missing matching missing; by default year, product and origin decide.
+    well, missing matching missing; by default year, product and origin decide.  An
+    origin that is tagged twice fails the job.
     """
     keys = list(ORIGIN)
-    hot = of_years(hotspot_places(bench), years)
+    hot = of_years(hotspot_places(bench), years).where(F.col("product").isin(*products))
+    hot = require_unique(hot.select(*keys, *([coefficient] if coefficient else [])), keys)
     kept = of_blocs(of_years(flows, years), blocs).where(F.col("product").isin(*products))
     if coefficient is None:
         joined = kept.join(hot.select(*keys), keys, "left_semi")
@@ -76,7 +79,8 @@ def hotspot_clearing_share(
     One pass over the flows: the hotspot mark is joined to every flow, and both the
     marked sums and the totals come from the same aggregate.
     """
-    marks = of_years(hotspot_places(bench), years).select(*ORIGIN, F.lit(True).alias("_mark"))
+    hot_places = of_years(hotspot_places(bench), years).select(*ORIGIN)
+    marks = require_unique(hot_places, ORIGIN).withColumn("_mark", F.lit(True))
     hot = "_mark IS NOT NULL"
     return (
         of_blocs(of_years(flows, years), blocs)

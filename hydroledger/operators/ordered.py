@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ascending, from_units, to_units
+from ..functions import ascending, exact
 from ..plans.staging import stage
 
 PART = "_part"
@@ -39,7 +39,6 @@ def running_total(
     order: Sequence[str],
     value: str,
     out: str,
-    places: int = 6,
     groups: DataFrame | None = None,
     keep: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
@@ -51,11 +50,11 @@ def running_total(
     the parts that can matter, from the total before the part and the highest total
     reachable inside it; the rows of the others are never sorted.
     """
-    units = to_units(F.col(value), places).cast("decimal(20,0)")
-    zero = F.lit(0).cast("decimal(30,0)")
+    units = exact(value)
+    zero = exact(F.lit(0))
 
     def added(x: Column) -> Column:
-        return F.coalesce(F.sum(x).cast("decimal(30,0)"), zero)
+        return F.coalesce(F.sum(x), zero)
 
     parts = _grouped(parts, keys)
     earlier = Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +68,7 @@ def running_total(
         offsets = offsets.join(_grouped(groups, keys).drop(*keys), GROUP)
     if keep is not None:
         before, reach = F.col("_before"), F.col("_before") + F.col("_gain")
-        offsets = offsets.where(keep(from_units(before, places), from_units(reach, places)))
+        offsets = offsets.where(keep(before.cast("double"), reach.cast("double")))
     inside = (
         Window.partitionBy(GROUP, PART)
         .orderBy(*[ascending(F.col(c)) for c in order])
@@ -78,7 +77,7 @@ def running_total(
     upto = F.col("_before") + F.coalesce(F.sum(units).over(inside), zero)
     return (
         parts.join(offsets.drop("_here", "_gain"), [GROUP, PART])
-        .withColumn(out, from_units(upto, places))
+        .withColumn(out, upto.cast("double"))
         .drop("_before", GROUP, PART)
     )
 
@@ -100,7 +99,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
         return (before < F.floor(F.col("_all") / 2) + 1) & (upto >= F.ceil(F.col("_all") / 2))
 
     ranked = running_total(
-        parts, keys, [value], "_n", "_upto", places=0, groups=groups, keep=middle
+        parts, keys, [value], "_n", "_upto", groups=groups, keep=middle
     )
     hits = ranked.where(middle(F.col("_upto") - F.col("_n"), F.col("_upto")))
     return hits.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))

@@ -11,9 +11,18 @@ from ..functions import exact_mean, nz_sum, r_round, signif, signif_sql
 from .model import CROP, HERD, NATIONAL, Units, of_years
 
 
-def _per_tonne(water: str) -> str:
-    """m3 per tonne from the reported totals (km3 and Mt, or both a thousandth)."""
-    return f"try_divide({water} * 1e9D, mass * 1e6D)"
+def _ratio(part: str, factor: float, whole: str, whole_factor: float, scale: float = 1.0) -> str:
+    """Stored units of ``part`` per stored unit of ``whole``, from the reported totals.
+
+    ``factor`` and ``whole_factor`` are those that the totals were reported with.
+    """
+    by = scale * (whole_factor / factor)
+    # Factors are powers of ten, which a quotient of doubles can miss by a bit.
+    return f"try_divide({part} * {float(f'{by:.12g}')!r}D, {whole})"
+
+
+#: Kilograms in a tonne: live weight is stored in the one and reported per the other.
+_KG = 1e3
 
 
 def crop_production_summary(production: DataFrame, units: Units = NATIONAL) -> DataFrame:
@@ -34,12 +43,13 @@ def crop_production_summary(production: DataFrame, units: Units = NATIONAL) -> D
     )
     return totals.select(
         "*",
-        r_round("try_divide(mass * 1e6D, planted * 1e6D)", 2).alias("yield"),
-        signif("try_divide(cleared, mass * 1e-3D)", 2).alias("cleared_per_kt"),
-        signif("try_divide(co2, mass)", 2).alias("co2_per_t"),
-        r_round(_per_tonne("water")).alias("water_per_t"),
-        r_round(_per_tonne("green")).alias("green_per_t"),
-        r_round(_per_tonne("blue")).alias("blue_per_t"),
+        r_round(_ratio("mass", units.mass, "planted", units.area), 2).alias("yield"),
+        signif(_ratio("cleared", units.area, "mass", units.mass, 1e3), 2).alias("cleared_per_kt"),
+        signif(_ratio("co2", units.carbon, "mass", units.mass), 2).alias("co2_per_t"),
+        *[
+            r_round(_ratio(x, units.water, "mass", units.mass)).alias(f"{x}_per_t")
+            for x in ("water", "green", "blue")
+        ],
     ).withColumn("pct_blue", r_round("try_divide(100D * blue_per_t, water_per_t)", 2))
 
 
@@ -48,6 +58,8 @@ def herd_production_summary(
 ) -> DataFrame:
     """Live weight, pasture, clearing, emissions, water and stock of the listed years."""
 
+    kilograms, tonnes = units.kilograms, units.kilograms * _KG
+
     def scaled(column: str, factor: float) -> Column:
         return nz_sum(column) * factor
 
@@ -71,11 +83,11 @@ def herd_production_summary(
     )
     return totals.select(
         "*",
-        signif("try_divide(cleared, mass * 1e-3D)", 3).alias("cleared_per_kt"),
-        r_round("try_divide(co2_def, mass)", 1).alias("co2_def_per_t"),
-        r_round("try_divide(co2_low, mass)", 1).alias("co2_low_per_t"),
-        r_round("try_divide(co2_high, mass)", 1).alias("co2_high_per_t"),
-        signif(_per_tonne("pasture_water"), 3).alias("pasture_per_t"),
-        r_round(_per_tonne("animal_water")).alias("animal_per_t"),
-        r_round(_per_tonne("reservoir_water")).alias("reservoir_per_t"),
+        signif(_ratio("cleared", units.area, "mass", tonnes, 1e3), 3).alias("cleared_per_kt"),
+        r_round(_ratio("co2_def", units.carbon, "mass", tonnes), 1).alias("co2_def_per_t"),
+        r_round(_ratio("co2_low", kilograms, "mass", kilograms), 1).alias("co2_low_per_t"),
+        r_round(_ratio("co2_high", kilograms, "mass", kilograms), 1).alias("co2_high_per_t"),
+        signif(_ratio("pasture_water", units.water, "mass", tonnes), 3).alias("pasture_per_t"),
+        r_round(_ratio("animal_water", units.water, "mass", tonnes)).alias("animal_per_t"),
+        r_round(_ratio("reservoir_water", units.water, "mass", tonnes)).alias("reservoir_per_t"),
     )

@@ -42,11 +42,14 @@ def state_exports(flows: DataFrame) -> DataFrame:
     )
 
 
-def state_domestic_residual(production: DataFrame, exports: DataFrame) -> DataFrame:
+def state_domestic_residual(
+    production: DataFrame, exports: DataFrame, domestic: str = DOMESTIC
+) -> DataFrame:
     """What stays in the country per year and state; may be negative.
 
     A row whose coefficient is missing adds nothing; a state without exports
-    keeps its whole production.  An unnamed state matches an unnamed state.
+    keeps its whole production.  An unnamed state matches an unnamed state.  ``domestic``
+    names the bloc of the rows.
     """
     produced = (
         production.where(F.col("product") == HERD)
@@ -65,7 +68,7 @@ def state_domestic_residual(production: DataFrame, exports: DataFrame) -> DataFr
         "produced",
         (F.col("produced") - nz(F.col("volume_out"))).alias("volume"),
         *[(F.col(f"{n}_all") - nz(F.col(f"{n}_out"))).alias(n) for n in RESIDUALS],
-        F.lit(DOMESTIC).alias("bloc"),
+        F.lit(domestic).alias("bloc"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ascending, descending, nz_sum, percent, r_round, signif_sql
-from ..plans.lookups import bound, lookup
+from ..plans.lookups import bound, lookup, require_unique
 from .model import ABOVE_WF, NATIONAL, PRODUCTS, Units, by_product, by_product_sql, of_years
 from .ordered import exact_median
 from .summary import KEYS, of_blocs
@@ -39,7 +39,7 @@ def median_savings(
     flows are neither.  All years, blocs and products run as one grouped query.  A
     ``copies`` column in the flows says how many equal flows a row stands for.  The
     coefficients ``wf`` and ``bwf`` are the flows' own where they carry both, else
-    those of the benchmark table.
+    those of the benchmark table.  An origin that is tagged twice fails the job.
     """
     copies = "copies" if "copies" in flows.columns else None
     own = {"wf", "bwf"} <= set(flows.columns)
@@ -47,7 +47,10 @@ def median_savings(
     tagged = bench.where(F.col("tag_wf") == ABOVE_WF).select(
         "year", "product", "origin_id", *([] if own else [coefficient])
     )
-    middle = lookup(medians, bound(years, products))
+    tagged = of_years(tagged, years).where(F.col("product").isin(*products))
+    tagged = require_unique(tagged, ["year", "product", "origin_id"])
+    middle = of_years(medians, years).where(F.col("product").isin(*products))
+    middle = lookup(middle, bound(years, products))
     at_median, as_is = [
         nz_sum(by_product_sql(signif_sql(water, 4), water), copies) * units.water
         for water in ("(median * volume)", "(coef * volume)")
@@ -62,7 +65,7 @@ def median_savings(
             *([copies] if copies else []),
             *([coefficient] if own else []),
         )
-        .join(of_years(tagged, years), ["year", "product", "origin_id"])
+        .join(tagged, ["year", "product", "origin_id"])
         .join(middle, ["year", "product"], "left")
         .groupBy(*KEYS, "median")
         .agg(at_median.alias("at_median"), as_is.alias("as_is"))

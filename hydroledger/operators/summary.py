@@ -29,7 +29,7 @@ def of_blocs(flows: DataFrame, blocs: Sequence[str]) -> DataFrame:
 def irrigated_volume() -> str:
     """Volume from irrigated origins: zero where the blue coefficient is zero,
     missing where it is missing.  Herd flows carry none."""
-    return by_product_sql(na_if_else_sql("bwf = 0", "0D", "volume"), "0D")
+    return by_product_sql(na_if_else_sql("bwf = 0", "0BD", "volume"), "0BD")
 
 
 def product_summary(

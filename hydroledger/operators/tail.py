@@ -1,7 +1,8 @@
 """Origins in the upper tail of the running share of imports.
 
 Origins of a (year, bloc, product) are ordered by their scarcity coefficient; the
-tail is where the running volume exceeds a share of the reference volume.
+tail is where the running volume exceeds a share of the reference volume.  Where
+the reference volume is zero, every positive running volume does, and the share is missing.
 Missing coefficients come last, so those origins count as tail.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nz_sum, percent, r_round, ratio, strict_sum
+from ..functions import nz_exact_sum, nz_sum, percent, r_round, ratio, strict_sum
 from .model import CROP, NATIONAL, PRODUCTS, Units, by_product_sql, of_years
 from .ordered import range_parts, running_total
 from .summary import KEYS, irrigated_volume, of_blocs
@@ -40,20 +41,25 @@ def _ranked_origins(
         .where(F.col("product").isin(*products))
         .groupBy(*KEYS, "origin_id", *coefficients)
         .agg(
-            nz_sum("volume").alias("volume"),
-            nz_sum("ha_def").alias("ha_def"),
-            nz_sum(by_product_sql(crop_base, "volume")).alias("_base"),
+            nz_exact_sum("volume").alias("volume"),
+            nz_exact_sum("ha_def").alias("ha_def"),
+            nz_exact_sum(by_product_sql(crop_base, "volume")).alias("_base"),
         )
         .withColumn("_ranked", F.expr(by_product_sql("coalesce(bwsf != 0, false)", "true")))
-        .withColumn("_weight", F.expr("CASE WHEN _ranked THEN volume ELSE 0D END"))
+        .withColumn("_weight", F.expr("CASE WHEN _ranked THEN volume ELSE 0BD END"))
     )
     parts = range_parts(per_origin, KEYS, ["bwsf", "origin_id"])
     groups = parts.groupBy(*KEYS).agg(
         nz_sum("_base").alias("base"), nz_sum("ha_def").alias("cleared_group")
     )
 
+    def beyond(running: Column) -> Column:
+        """Above the cut; any volume is more than every share of a zero base."""
+        base = F.col("base")
+        return (ratio(running, base) > cut) | ((base == 0) & (running > 0))
+
     def may_hold_tail(before: Column, reach: Column) -> Column:
-        return ratio(reach, F.col("base")) > cut
+        return beyond(reach)
 
     return (
         running_total(
@@ -67,7 +73,9 @@ def _ranked_origins(
         )
         .where("_ranked")
         .withColumn("perc", ratio(F.col("volume_cum"), F.col("base")))
-        .where(F.col("perc") > cut)
+        .where(beyond(F.col("volume_cum")))
+        .withColumn("volume", F.col("volume").cast("double"))
+        .withColumn("ha_def", F.col("ha_def").cast("double"))
     )
 
 

@@ -32,8 +32,8 @@ def water_by_colour(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
     colour whose flows are all zero or missing gives no row.
     """
     totals = flows.groupBy(*keys).agg(
-        F.when(F.expr("count_if(green_m3 != 0) > 0"), exact_sum("green_m3")).alias("Green"),
-        F.when(F.expr("count_if(blue_m3 != 0) > 0"), exact_sum("blue_m3")).alias("Blue"),
+        F.when(F.expr("count_if(green_m3 != 0) > 0"), exact_sum("green_m3").cast("double")).alias("Green"),
+        F.when(F.expr("count_if(blue_m3 != 0) > 0"), exact_sum("blue_m3").cast("double")).alias("Blue"),
     )
     return totals.unpivot(list(keys), ["Green", "Blue"], "colour", "water_m3").where(
         "water_m3 IS NOT NULL"

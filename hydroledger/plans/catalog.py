@@ -19,10 +19,12 @@ from ..operators import (
     water,
 )
 from ..operators.compact import compact
-from ..operators.model import ABOVE_DEF, BELOW_DEF, CROP, HERD
+from ..operators.model import ABOVE_DEF, BELOW_DEF, CROP, HERD, PRODUCTS, combine_flows
+from ..sources import publish_layer, read_table
+from ..sources.tables import SCHEMAS
 from ..sources import star
 from ..sources.star import FOREIGN, HOME, IMPORTERS, SCALE, YEARS
-from .staging import stage
+from .staging import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +42,7 @@ def query(fn: Query) -> Query:
 
 def _summary(spark, sf_dir) -> DataFrame:
     columns = [*KEYS, "volume", "green_m3", "blue_m3", "ha_def", "bwf"]
-    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS, per_supplier=False)
+    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS)
     return summary.product_summary(flows, IMPORTERS, SCALE)
 
 
@@ -60,26 +62,26 @@ def bloc_totals(spark, sf_dir):
 _FOOTPRINT = [*KEYS, "volume", "green_m3", "blue_m3", "ha_def", "co2_def", "co2_low", "co2_high"]
 
 
-def _footprint_flows(spark, sf_dir, years=None):
+def _footprint_flows(spark, sf_dir, product):
     blocs = (*IMPORTERS, HOME)
-    return star.trade(spark, sf_dir, _FOOTPRINT, years=years, blocs=blocs, per_supplier=False)
+    return star.trade(spark, sf_dir, _FOOTPRINT, blocs=blocs, products=(product,))
 
 
 @query
 def crop_bloc_footprint(spark, sf_dir):
-    flows = _footprint_flows(spark, sf_dir)
+    flows = _footprint_flows(spark, sf_dir, CROP)
     return summary.crop_bloc_footprint(flows, (*IMPORTERS, HOME), SCALE)
 
 
 @query
 def herd_bloc_footprint(spark, sf_dir):
-    flows = _footprint_flows(spark, sf_dir)
+    flows = _footprint_flows(spark, sf_dir, HERD)
     return summary.herd_bloc_footprint(flows, (*IMPORTERS, HOME), SCALE)
 
 
 @query
 def import_totals(spark, sf_dir):
-    flows = star.trade(spark, sf_dir, [*KEYS, "volume"], blocs=IMPORTERS, per_supplier=False)
+    flows = star.trade(spark, sf_dir, [*KEYS, "volume"], blocs=IMPORTERS)
     return summary.import_totals(flows, IMPORTERS)
 
 
@@ -105,7 +107,7 @@ _PRODUCED += ["co2_per_t", "co2_low_per_t", "co2_high_per_t"]
 
 def _residual(spark, sf_dir):
     """Exports and production share one pass over the order lines."""
-    lines = star.order_lines(spark, sf_dir).where(F.col("product") == HERD)
+    lines = star.order_lines(spark, sf_dir, products=(HERD,))
     sums = stage(star.supplier_sums(lines, _RESIDUAL[3:]))
     exports = star.trade(spark, sf_dir, _RESIDUAL, blocs=FOREIGN, sums=sums)
     produced = star.production(spark, sf_dir, _PRODUCED, sums=sums)
@@ -114,7 +116,8 @@ def _residual(spark, sf_dir):
 
 @query
 def state_exports(spark, sf_dir):
-    return residual.state_exports(star.trade(spark, sf_dir, _RESIDUAL, blocs=FOREIGN))
+    flows = star.trade(spark, sf_dir, _RESIDUAL, blocs=FOREIGN, products=(HERD,))
+    return residual.state_exports(flows)
 
 
 @query
@@ -125,8 +128,11 @@ def state_domestic_residual(spark, sf_dir):
 @query
 def state_domestic_residual_bulk(spark, sf_dir):
     """Exports are only the bulk rainfed flows to one bloc: many states export nothing."""
-    exports = star.trade(spark, sf_dir, _RESIDUAL, blocs=["ASIA"], where=star.BULK)
-    produced = star.production(spark, sf_dir, _PRODUCED)
+    # One pass: the bulk lines to the one bloc are marked and added up beside all others.
+    lines = star.order_lines(spark, sf_dir, products=(HERD,), mark=star.BULK)
+    sums = stage(star.supplier_sums(lines, _RESIDUAL[3:], (*KEYS, "marked")))
+    exports = star.trade(spark, sf_dir, _RESIDUAL, blocs=["ASIA"], sums=sums.where("marked"))
+    produced = star.production(spark, sf_dir, _PRODUCED, sums=sums)
     return residual.state_domestic_residual(produced, residual.state_exports(exports))
 
 
@@ -136,6 +142,33 @@ def national_domestic_residual(spark, sf_dir):
     return residual.national_domestic_residual(_residual(spark, sf_dir), unknown, SCALE)
 
 
+# --- through files ----------------------------------------------------------
+
+
+@query
+def stored_footprint(spark, sf_dir):
+    """Flow files of both products -> one table -> totals -> a layer in files -> the result."""
+    columns = [c for c in SCHEMAS["flows"].names if c != "product"]
+    parts = []
+    for product in PRODUCTS:
+        flows = star.trade(spark, sf_dir, [*columns, "product"], products=(product,))
+        typed = [F.col(f.name).cast(f.dataType) for f in SCHEMAS["flows"] if f.name != "product"]
+        folder = new_folder(spark)
+        flows.select(*typed).write.parquet(folder)
+        parts.append(read_table(spark, folder, _without_product()))
+    both = combine_flows(*parts)
+    layer = new_folder(spark)
+    publish_layer(summary.import_totals(both, IMPORTERS), layer, ["year"])
+    return spark.read.schema(
+        "bloc string, product string, vol_total double, year string"
+    ).parquet(layer)
+
+
+def _without_product():
+    fields = [f for f in SCHEMAS["flows"] if f.name != "product"]
+    return type(SCHEMAS["flows"])(fields)
+
+
 # --- basins -----------------------------------------------------------------
 
 
@@ -181,15 +214,20 @@ def basin_blue_scarcity_rollup(spark, sf_dir):
 # --- benchmarks and savings -------------------------------------------------
 
 
-def _bench_production(spark, sf_dir, years=YEARS, sums=None):
-    return stage(star.production(spark, sf_dir, star.BENCH_INPUT, years, sums=sums))
+def _bench_production(spark, sf_dir, years=YEARS, sums=None, products=PRODUCTS):
+    return stage(
+        star.production(spark, sf_dir, star.BENCH_INPUT, years, sums=sums, products=products)
+    )
 
 
-def _savings(spark, sf_dir, products, sums=None):
-    produced = _bench_production(spark, sf_dir, sums=sums)
+def _savings(spark, sf_dir, products, sums=None, own=False):
+    """``own``: with the flows' own coefficients instead of the benchmark's."""
+    produced = _bench_production(spark, sf_dir, sums=sums, products=products)
     # Rounding works on single flows, so equal ones are counted, not added.
-    columns = [*KEYS, "origin_id", "volume", "copies"]
-    flows = star.trade(spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS)
+    columns = [*KEYS, "origin_id", "volume", "copies", *(["wf", "bwf"] if own else [])]
+    flows = star.trade(
+        spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS, products=products
+    )
     return savings.median_savings(
         flows,
         star.bench(produced, YEARS),
@@ -217,6 +255,16 @@ def median_savings_herd(spark, sf_dir):
     return _savings(spark, sf_dir, (HERD,))
 
 
+@query
+def median_savings_crop_own(spark, sf_dir):
+    return _savings(spark, sf_dir, (CROP,), own=True)
+
+
+@query
+def median_savings_herd_own(spark, sf_dir):
+    return _savings(spark, sf_dir, (HERD,), own=True)
+
+
 @query
 def savings_table(spark, sf_dir):
     # One pass for the two footprints and for production, one for the single flows.
@@ -235,19 +283,19 @@ def savings_table(spark, sf_dir):
 # --- tails and hotspots -----------------------------------------------------
 
 
-def _tail_flows(spark, sf_dir):
+def _tail_flows(spark, sf_dir, products=PRODUCTS):
     columns = [*KEYS, "origin_id", "volume", "ha_def", "bwf", "bwsf"]
-    return star.trade(spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS)
+    return star.trade(spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS, products=products)
 
 
 @query
 def tail_origins_crop(spark, sf_dir):
-    return tail.tail_origins(_tail_flows(spark, sf_dir), IMPORTERS, YEARS, (CROP,))
+    return tail.tail_origins(_tail_flows(spark, sf_dir, (CROP,)), IMPORTERS, YEARS, (CROP,))
 
 
 @query
 def tail_origins_herd(spark, sf_dir):
-    return tail.tail_origins(_tail_flows(spark, sf_dir), IMPORTERS, YEARS, (HERD,))
+    return tail.tail_origins(_tail_flows(spark, sf_dir, (HERD,)), IMPORTERS, YEARS, (HERD,))
 
 
 @query
@@ -259,34 +307,43 @@ def tail_clearing_share(spark, sf_dir):
 @query
 def tail_layer_crop(spark, sf_dir):
     place = star.place(spark, sf_dir)
-    return tail.tail_layer(_tail_flows(spark, sf_dir), place, CROP, IMPORTERS, YEARS)
+    return tail.tail_layer(_tail_flows(spark, sf_dir, (CROP,)), place, CROP, IMPORTERS, YEARS)
 
 
 @query
 def tail_layer_herd(spark, sf_dir):
     place = star.place(spark, sf_dir)
-    return tail.tail_layer(_tail_flows(spark, sf_dir), place, HERD, IMPORTERS, YEARS)
+    return tail.tail_layer(_tail_flows(spark, sf_dir, (HERD,)), place, HERD, IMPORTERS, YEARS)
 
 
 _HOTSPOT = [*KEYS, "origin_id", "volume", "ha_def"]
 
 
-def _hotspot_inputs(spark, sf_dir):
+def _hotspot_inputs(spark, sf_dir, product):
+    # Lines of unlinked suppliers match no benchmark, so they end in the scan.
     flows = star.trade(
-        spark, sf_dir, _HOTSPOT, years=YEARS, blocs=IMPORTERS, per_supplier=False
+        spark,
+        sf_dir,
+        _HOTSPOT,
+        years=YEARS,
+        blocs=IMPORTERS,
+        per_supplier=False,
+        where=star.LINKED,
+        products=(product,),
     )
-    return flows, star.bench(_bench_production(spark, sf_dir), YEARS)
+    produced = _bench_production(spark, sf_dir, products=(product,))
+    return flows, star.bench(produced, YEARS)
 
 
 @query
 def hotspot_origins_crop(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir)
+    flows, bench = _hotspot_inputs(spark, sf_dir, CROP)
     return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (CROP,))
 
 
 @query
 def hotspot_origins_herd(spark, sf_dir):
-    flows, bench = _hotspot_inputs(spark, sf_dir)
+    flows, bench = _hotspot_inputs(spark, sf_dir, HERD)
     return hotspot.hotspot_origins(flows, bench, IMPORTERS, YEARS, (HERD,))
 
 
@@ -319,16 +376,21 @@ def _basin_water(spark, sf_dir, where=None):
     return stage(_water(spark, sf_dir, _BASIN_GRAIN, where))
 
 
+def _labelled_basins(spark, sf_dir):
+    """Every basin of the labels, and one without flows."""
+    named = star.labels(spark, sf_dir).select("basin")
+    return named.union(spark.sql(f"SELECT '{star.EMPTY_BASIN}' AS basin"))
+
+
 @query
 def water_by_colour(spark, sf_dir):
     columns = [*KEYS, *_WATER]
-    flows = star.trade(spark, sf_dir, columns, per_supplier=False)
-    return water.water_by_colour(flows, KEYS)
+    return water.water_by_colour(star.trade(spark, sf_dir, columns), KEYS)
 
 
 @query
 def water_long(spark, sf_dir):
-    return _water(spark, sf_dir, water.ORIGIN_GRAIN)
+    return water.in_series_order(_water(spark, sf_dir, water.ORIGIN_GRAIN))
 
 
 def _axis(spark, sf_dir):
@@ -381,6 +443,12 @@ def basin_panel_bulk(spark, sf_dir):
     return _panel(spark, sf_dir, where=star.BULK)
 
 
+@query
+def missing_basins(spark, sf_dir):
+    series = _basin_water(spark, sf_dir)
+    return water.missing_basins(series, _labelled_basins(spark, sf_dir), YEARS, IMPORTERS)
+
+
 @query
 def missing_basins_bulk(spark, sf_dir):
     series = _basin_water(spark, sf_dir, star.BULK)
@@ -393,10 +461,18 @@ def basin_order(spark, sf_dir):
     return water.basin_order(series, water.basin_domain(series), YEARS, IMPORTERS[0])
 
 
+@query
+def ordered_panel(spark, sf_dir):
+    return _ordered_panel(_basin_water(spark, sf_dir), _labelled_basins(spark, sf_dir))
+
+
 @query
 def ordered_panel_bulk(spark, sf_dir):
     series = _basin_water(spark, sf_dir, star.BULK)
-    domain = water.basin_domain(series)
+    return _ordered_panel(series, water.basin_domain(series))
+
+
+def _ordered_panel(series, domain):
     return water.ordered_panel(
         water.basin_panel(series, domain, YEARS, IMPORTERS, units=SCALE),
         water.basin_order(series, domain, YEARS, IMPORTERS[0]),
@@ -415,9 +491,9 @@ def blue_map_layer(spark, sf_dir):
     return layers.blue_map_layer(series, star.place(spark, sf_dir), YEARS, IMPORTERS, SCALE)
 
 
-def _layer_inputs(spark, sf_dir, coefficient, where=None, years=None):
+def _layer_inputs(spark, sf_dir, product, coefficient, where=None, years=None):
     columns = ["year", "product", "origin_id", coefficient]
-    produced = star.production(spark, sf_dir, columns, years, where)
+    produced = star.production(spark, sf_dir, columns, years, where, products=(product,))
     return produced, star.place(spark, sf_dir), MAP_YEAR
 
 
@@ -425,44 +501,45 @@ def _layer_inputs(spark, sf_dir, coefficient, where=None, years=None):
 def crop_scarcity_bins(spark, sf_dir):
     # The inner join shows no other year; the outer joins below need all years, to
     # tell a place never seen from one seen in another year.
-    inputs = _layer_inputs(spark, sf_dir, "bwsf", years=[MAP_YEAR])
+    inputs = _layer_inputs(spark, sf_dir, CROP, "bwsf", years=[MAP_YEAR])
     return layers.crop_scarcity_bins(*inputs)
 
 
 @query
 def herd_scarcity_bins(spark, sf_dir):
-    return layers.herd_scarcity_bins(*_layer_inputs(spark, sf_dir, "bwsf"))
+    return layers.herd_scarcity_bins(*_layer_inputs(spark, sf_dir, HERD, "bwsf"))
 
 
 @query
 def crop_water_bins(spark, sf_dir):
-    return layers.crop_water_bins(*_layer_inputs(spark, sf_dir, "wf"))
+    return layers.crop_water_bins(*_layer_inputs(spark, sf_dir, CROP, "wf"))
 
 
 @query
 def crop_blue_bins(spark, sf_dir):
-    return layers.crop_blue_bins(*_layer_inputs(spark, sf_dir, "bwf"))
+    return layers.crop_blue_bins(*_layer_inputs(spark, sf_dir, CROP, "bwf"))
 
 
 @query
 def herd_blue_bins(spark, sf_dir):
-    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, "bwf"))
+    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, HERD, "bwf"))
 
 
 @query
 def herd_pasture_bins(spark, sf_dir):
-    return layers.herd_pasture_bins(*_layer_inputs(spark, sf_dir, "gwf"))
+    return layers.herd_pasture_bins(*_layer_inputs(spark, sf_dir, HERD, "gwf"))
 
 
 @query
 def crop_scarcity_bins_bulk(spark, sf_dir):
     """Production from returned bulk lines: places seen only in other years drop out."""
-    return layers.crop_scarcity_bins(*_layer_inputs(spark, sf_dir, "bwsf", star.RETURNED_BULK))
+    inputs = _layer_inputs(spark, sf_dir, CROP, "bwsf", star.RETURNED_BULK)
+    return layers.crop_scarcity_bins(*inputs)
 
 
 @query
 def herd_blue_bins_bulk(spark, sf_dir):
-    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, "bwf", star.RETURNED_BULK))
+    return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, HERD, "bwf", star.RETURNED_BULK))
 
 
 def _classes(spark, sf_dir, layer):
@@ -493,12 +570,13 @@ def herd_bench_classes(spark, sf_dir):
 def crop_production_summary(spark, sf_dir):
     columns = ["year", "product", "tonnes", "planted_ha", "def_ha", "ghg_t"]
     columns += ["wf", "gwf", "bwf", "irrigated_ha"]
-    return national.crop_production_summary(star.production(spark, sf_dir, columns), SCALE)
+    produced = star.production(spark, sf_dir, columns, products=(CROP,))
+    return national.crop_production_summary(produced, SCALE)
 
 
 @query
 def herd_production_summary(spark, sf_dir):
     columns = ["year", "product", "live_kg", "pasture_ha", "def_ha", "ghg_t", "co2_high_kg"]
     columns += ["co2_low_kg", "pasture_m3", "animal_m3", "reservoir_m3", "water_ha", "stock"]
-    produced = star.production(spark, sf_dir, columns, YEARS)
+    produced = star.production(spark, sf_dir, columns, YEARS, products=(HERD,))
     return national.herd_production_summary(produced, YEARS, SCALE)

@@ -1,8 +1,8 @@
 """The catalog's results as plain SQL over the same tables.
 
 Written from the definitions of the tables, not from the Spark plans: no staging,
-no pre-aggregation, plain windows and medians, decimal sums.  Amounts that come
-from a quotient are added up in whole millionths, as the operators define it.
+no pre-aggregation, plain windows and medians, decimal sums; amounts that come
+from a quotient are added up as their shortest decimals.
 """
 
 from __future__ import annotations
@@ -39,9 +39,14 @@ def _total(x: str) -> str:
     return f"coalesce(cast(sum({x}) AS double), 0)"
 
 
-def _micro(x: str) -> str:
-    """Sum of doubles in whole millionths, zero when there is nothing to add."""
-    return f"coalesce(cast(sum(cast(({x}) * 1e6 AS bigint)) AS double) / 1e6, 0)"
+def _exact(x: str, places: int = 18) -> str:
+    """Sum of doubles, each as its shortest decimal, missing when there is nothing to add."""
+    return f"cast(cast(sum(cast(cast({x} AS varchar) AS decimal(38,{places}))) AS varchar) AS double)"
+
+
+def _added(x: str, places: int = 18) -> str:
+    """The same sum, zero when there is nothing to add."""
+    return f"coalesce({_exact(x, places)}, 0)"
 
 
 def _strict(x: str, digits: int = 6) -> str:
@@ -81,6 +86,8 @@ def _flows(where: str = "true") -> str:
          * cast(l_discount AS decimal(4,2)) AS decimal(24,4)) AS co2_def,
     CASE WHEN l_suppkey % 10 = 9 THEN NULL WHEN l_suppkey % 3 = 0 THEN 0.0
          ELSE cast((l_suppkey % 97 + 1) * 1.5 AS double) END AS bwf,
+    CASE WHEN l_suppkey % 10 <> 9 THEN cast((l_suppkey % 53 + 1) * 20 AS double)
+      + CASE WHEN l_suppkey % 3 = 0 THEN 0.0 ELSE (l_suppkey % 97 + 1) * 1.5 END END AS wf,
     CASE WHEN l_suppkey % 10 = 9 THEN NULL WHEN l_suppkey % 3 = 0 THEN 0.0
          ELSE abs(s_acctbal) END AS bwsf
   FROM lineitem
@@ -132,7 +139,7 @@ prod AS (
 _PROD = _produced()
 _PROD_BULK = _produced("l_quantity >= 50 AND l_returnflag = 'R'")
 
-_MEAN = "cast(sum(cast({c} * 1e6 AS bigint)) AS double) / 1e6 / count({c})"
+_MEAN = _exact("{c}") + " / count({c})"
 _BENCH = f"""cutoffs AS (
   SELECT year, product, {_MEAN.format(c="bwf")} AS cut_wf, {_MEAN.format(c="bwsf")} AS cut_wsf,
     {_MEAN.format(c="def_per_t")} AS cut_def FROM prod GROUP BY 1, 2),
@@ -214,6 +221,11 @@ ORACLE: dict[str, str] = {
     "import_totals": _with(
         _TRADE,
         select=f"""SELECT year, bloc, product, {_total("volume")} AS vol_total
+FROM trade WHERE bloc IN {_IMPORTERS} GROUP BY 1, 2, 3""",
+    ),
+    "stored_footprint": _with(
+        _TRADE,
+        select=f"""SELECT year, bloc, product, {_total("volume")} AS vol_total
 FROM trade WHERE bloc IN {_IMPORTERS} GROUP BY 1, 2, 3""",
     ),
     "irrigated_import_share": _with(
@@ -254,8 +266,8 @@ def _exports(blocs: str) -> str:
 
 
 _RESIDUAL = f"""made AS (
-  SELECT year, state_code, {_micro("tonnes")} AS produced,
-    {", ".join(f"{_micro(f'{c} * tonnes')} AS {n}_all" for n, (_, c) in _PARTS.items())}
+  SELECT year, state_code, {_added("tonnes")} AS produced,
+    {", ".join(f"{_added(f'{c} * tonnes')} AS {n}_all" for n, (_, c) in _PARTS.items())}
   FROM prod WHERE product = '{HERD}' GROUP BY 1, 2),
 residual AS (
   SELECT year, state_code, produced, produced - coalesce(volume_out, 0) AS volume,
@@ -282,13 +294,13 @@ ORACLE |= {
         _RESIDUAL,
         _UNKNOWN,
         f"""nation_year AS (
-  SELECT year, round_even({_micro("volume")} * 1e-3, 2) AS mass_all,
-    round_even({_micro("green_m3")} * 1e-6, 0) AS green,
-    round_even({_micro("blue_m3")} * 1e-6, 0) AS blue,
-    round_even({_micro("cleared")} * 1e-3, 2) AS cleared,
-    round_even({_micro("co2_def")} * 1e-3, 0) AS co2_def,
-    round_even({_micro("co2_high")} * 1e-3, 0) AS co2_high,
-    round_even({_micro("co2_low")} * 1e-3, 0) AS co2_low
+  SELECT year, round_even({_added("volume")} * 1e-3, 2) AS mass_all,
+    round_even({_added("green_m3")} * 1e-6, 0) AS green,
+    round_even({_added("blue_m3")} * 1e-6, 0) AS blue,
+    round_even({_added("cleared")} * 1e-3, 2) AS cleared,
+    round_even({_added("co2_def")} * 1e-3, 0) AS co2_def,
+    round_even({_added("co2_high")} * 1e-3, 0) AS co2_high,
+    round_even({_added("co2_low")} * 1e-3, 0) AS co2_low
   FROM residual GROUP BY 1)""",
         select="""SELECT year, round_even(mass_all - unknown_t * 1e-3, 2) AS mass, green, blue,
   round_even(green + blue, 1) AS water, cleared, co2_def, co2_high, co2_low,
@@ -344,9 +356,12 @@ _MEDIANS = f"""medians AS (
     SELECT year, product, CASE product WHEN '{CROP}' THEN wf ELSE bwf END AS coef FROM prod)
   WHERE coef <> 0 GROUP BY 1, 2)"""
 
-_TAGGED = f"""tagged AS (
+
+def _savings(own: str) -> str:
+    """``own``: the table that gives the coefficients, flows (t) or benchmark (b)."""
+    return f"""tagged AS (
   SELECT t.bloc, t.year, t.product, m.median, cast(t.volume AS double) AS volume,
-    CASE t.product WHEN '{CROP}' THEN b.wf ELSE b.bwf END AS coef
+    CASE t.product WHEN '{CROP}' THEN {own}.wf ELSE {own}.bwf END AS coef
   FROM trade t JOIN bench b USING (year, product, origin_id)
   LEFT JOIN medians m USING (year, product)
   WHERE t.bloc IN {_IMPORTERS} AND t.year IN {_YEARS} AND b.tag_wf = '{ABOVE_WF}'),
@@ -354,14 +369,17 @@ savings AS (
   SELECT bloc, at_median, as_is, median, round_even(as_is - at_median, 2) AS savings, year, product
   FROM (
     SELECT bloc, year, product, median,
-      round_even({_micro(_signif("(median * volume)", 4))} * 1e-6, 2) AS at_median,
-      round_even({_micro(_signif("(coef * volume)", 4))} * 1e-6, 2) AS as_is
+      round_even({_added(_signif("(median * volume)", 4), 12)} * 1e-6, 2) AS at_median,
+      round_even({_added(_signif("(coef * volume)", 4), 12)} * 1e-6, 2) AS as_is
     FROM tagged WHERE product = '{CROP}' GROUP BY 1, 2, 3, 4
     UNION ALL
-    SELECT bloc, year, product, median, {_micro("median * volume")} * 1e-6,
-      {_micro("coef * volume")} * 1e-6
+    SELECT bloc, year, product, median, {_added("(median * volume)", 12)} * 1e-6,
+      {_added("(coef * volume)", 12)} * 1e-6
     FROM tagged WHERE product = '{HERD}' GROUP BY 1, 2, 3, 4))"""
-_SAVING_CTES = (_TRADE, _PROD, _BENCH, _MEDIANS, _TAGGED)
+
+
+_SAVING_CTES = (_TRADE, _PROD, _BENCH, _MEDIANS, _savings("b"))
+_OWN_CTES = (_TRADE, _PROD, _BENCH, _MEDIANS, _savings("t"))
 
 ORACLE |= {
     "median_footprint": _with(_PROD, _MEDIANS, select="SELECT * FROM medians"),
@@ -371,6 +389,12 @@ ORACLE |= {
     "median_savings_herd": _with(
         *_SAVING_CTES, select=f"SELECT * FROM savings WHERE product = '{HERD}'"
     ),
+    "median_savings_crop_own": _with(
+        *_OWN_CTES, select=f"SELECT * FROM savings WHERE product = '{CROP}'"
+    ),
+    "median_savings_herd_own": _with(
+        *_OWN_CTES, select=f"SELECT * FROM savings WHERE product = '{HERD}'"
+    ),
     "savings_table": _with(
         *_SAVING_CTES,
         _CROP_FOOTPRINT,
@@ -403,7 +427,7 @@ def _tail(product: str, base: str, coefs: str = "bwsf") -> str:
       GROUP BY year, bloc, product, origin_id, {coefs}))
   JOIN (SELECT year, bloc, {_total(base)} AS vol_base FROM trade
         WHERE product = '{product}' GROUP BY 1, 2) USING (year, bloc)
-  WHERE volume_cum / nullif(vol_base, 0) > {CUT})"""
+  WHERE volume_cum / nullif(vol_base, 0) > {CUT} OR (vol_base = 0 AND volume_cum > 0))"""
 
 
 _IRRIGATED_VOLUME = "CASE WHEN bwf IS NULL THEN NULL WHEN bwf = 0 THEN 0 ELSE volume END"
@@ -470,7 +494,7 @@ FROM tail_{HERD} JOIN place USING (origin_id)""",
         _HOT,
         f"""hot_sums AS (
   SELECT year, bloc, product, round_even({_strict("volume")} * 1e-3, 6) AS mass,
-    round_even({_micro("ha_def")}, 0) AS ha_def,
+    round_even({_added("ha_def")}, 0) AS ha_def,
     count(DISTINCT coalesce(origin_id, '<none>')) AS n_origins
   FROM hot GROUP BY 1, 2, 3)""",
         select="""SELECT year, bloc, product, mass, ha_def, n_origins, cleared_total,
@@ -508,7 +532,7 @@ _GRID = f"""grid AS (
 
 def _panel(types: str = _ALL) -> str:
     return f"""shown AS (
-  SELECT year, bloc, type, basin, {_micro("water_m3")} * 1e-6 AS water
+  SELECT year, bloc, type, basin, {_added("water_m3")} * 1e-6 AS water
   FROM series WHERE {_LINKED} AND {types} AND year IN {_YEARS} GROUP BY 1, 2, 3, 4),
 gaps AS (
   SELECT year, bloc, basin FROM grid g WHERE NOT EXISTS (
@@ -529,15 +553,21 @@ _ORDER = f"""axis_order AS (
     GROUP BY 1, 2))"""
 
 
-def _panel_ctes(trade: str, types: str = _ALL) -> tuple[str, ...]:
-    return (trade, _ORIGIN_SERIES, _DOMAIN, _GRID, _panel(types))
+def _panel_ctes(trade: str, types: str = _ALL, domain: str = _DOMAIN) -> tuple[str, ...]:
+    return (trade, _ORIGIN_SERIES, domain, _GRID, _panel(types))
+
+
+_LABELLED = """domain AS (
+  SELECT 'BASIN_' || n_nationkey AS basin FROM nation UNION ALL SELECT 'BASIN_NODATA')"""
+_ORDERED = """SELECT panel.*, position FROM panel LEFT JOIN axis_order o
+ON panel.year = o.year AND panel.basin IS NOT DISTINCT FROM o.basin"""
 
 
 _AXIS = f"""axis AS (
-  SELECT year, basin, bloc, round_even({_micro("water_m3")} * 1e-6, 2) AS water,
+  SELECT year, basin, bloc, round_even({_added("water_m3")} * 1e-6, 2) AS water,
     'Green + Blue' AS label FROM series WHERE {_LINKED} GROUP BY 1, 2, 3
   UNION ALL
-  SELECT year, basin, bloc, round_even({_micro("water_m3")} * 1e-6, 2), 'Blue'
+  SELECT year, basin, bloc, round_even({_added("water_m3")} * 1e-6, 2), 'Blue'
   FROM series WHERE {_LINKED} AND {_BLUE} GROUP BY 1, 2, 3)"""
 
 ORACLE |= {
@@ -562,13 +592,18 @@ WHERE m3 <> 0 GROUP BY 1, 2, 3, 4""",
     "basin_panel": _with(*_panel_ctes(_TRADE), select="SELECT * FROM panel"),
     "basin_panel_blue": _with(*_panel_ctes(_TRADE, _BLUE), select="SELECT * FROM panel"),
     "basin_panel_bulk": _with(*_panel_ctes(_BULK), select="SELECT * FROM panel"),
+    "missing_basins": _with(
+        *_panel_ctes(_TRADE, domain=_LABELLED), select="SELECT * FROM gaps"
+    ),
+    "ordered_panel": _with(
+        *_panel_ctes(_TRADE, domain=_LABELLED), _ORDER, select=_ORDERED
+    ),
     "missing_basins_bulk": _with(*_panel_ctes(_BULK), select="SELECT * FROM gaps"),
     "basin_order": _with(*_panel_ctes(_TRADE), _ORDER, select="SELECT * FROM axis_order"),
     "ordered_panel_bulk": _with(
         *_panel_ctes(_BULK),
         _ORDER,
-        select="""SELECT panel.*, position FROM panel LEFT JOIN axis_order o
-ON panel.year = o.year AND panel.basin IS NOT DISTINCT FROM o.basin""",
+        select=_ORDERED,
     ),
 }
 
@@ -628,7 +663,7 @@ ORACLE |= {
         _PLACE,
         _ORIGIN_SERIES,
         f"""per_origin AS (
-  SELECT year, bloc, origin_id, {_micro("water_m3")} * 1e-6 AS water
+  SELECT year, bloc, origin_id, {_added("water_m3")} * 1e-6 AS water
   FROM series WHERE {_LINKED} AND {_BLUE} AND year IN {_YEARS} GROUP BY 1, 2, 3)""",
         select="""SELECT year, bloc, origin_id, water,
   CASE WHEN water > 0 AND water < 1e-6 THEN '0-10^-6'
@@ -652,26 +687,26 @@ FROM per_origin LEFT JOIN place USING (origin_id)""",
 # --- national production ----------------------------------------------------
 
 _CROP_TOTALS = f"""crop_year AS (
-  SELECT year, round_even({_micro("tonnes")} * 1e-3, 1) AS mass,
-    round_even({_micro("planted_ha")} * 1e-3, 1) AS planted,
-    round_even({_micro("def_ha")} * 1e-3, 2) AS cleared,
-    round_even({_micro("ghg_t")} * 1e-3, 0) AS co2,
-    round_even({_micro("wf * tonnes")} * 1e-6, 0) AS water,
-    round_even({_micro("gwf * tonnes")} * 1e-6, 0) AS green,
-    round_even({_micro(_signif("(bwf * tonnes)", 4))} * 1e-6, 2) AS blue,
-    round_even({_micro("irrigated_ha")} * 1e-3, 2) AS irrigated
+  SELECT year, round_even({_added("tonnes")} * 1e-3, 1) AS mass,
+    round_even({_added("planted_ha")} * 1e-3, 1) AS planted,
+    round_even({_added("def_ha")} * 1e-3, 2) AS cleared,
+    round_even({_added("ghg_t")} * 1e-3, 0) AS co2,
+    round_even({_added("wf * tonnes")} * 1e-6, 0) AS water,
+    round_even({_added("gwf * tonnes")} * 1e-6, 0) AS green,
+    round_even({_added(_signif("(bwf * tonnes)", 4))} * 1e-6, 2) AS blue,
+    round_even({_added("irrigated_ha")} * 1e-3, 2) AS irrigated
   FROM prod WHERE product = '{CROP}' GROUP BY 1)"""
 _HERD_TOTALS = f"""herd_year AS (
-  SELECT year, round_even({_micro("live_kg")} * 1e-6, 1) AS mass,
-    round_even({_micro("pasture_ha")} * 1e-3, 0) AS pasture,
-    round_even({_micro("def_ha")} * 1e-3, 1) AS cleared,
-    round_even({_micro("ghg_t")} * 1e-3, 0) AS co2_def,
-    round_even({_micro("co2_high_kg")} * 1e-6, 0) AS co2_high,
-    round_even({_micro("co2_low_kg")} * 1e-6, 0) AS co2_low,
-    round_even({_micro("pasture_m3")} * 1e-6, 0) AS pasture_water,
-    round_even({_micro("animal_m3")} * 1e-6, 1) AS animal_water,
-    round_even({_micro("reservoir_m3")} * 1e-6, 1) AS reservoir_water,
-    round_even({_micro("round_even(water_ha, 0)")} * 1e-3, 2) AS water_area,
+  SELECT year, round_even({_added("live_kg")} * 1e-6, 1) AS mass,
+    round_even({_added("pasture_ha")} * 1e-3, 0) AS pasture,
+    round_even({_added("def_ha")} * 1e-3, 1) AS cleared,
+    round_even({_added("ghg_t")} * 1e-3, 0) AS co2_def,
+    round_even({_added("co2_high_kg")} * 1e-6, 0) AS co2_high,
+    round_even({_added("co2_low_kg")} * 1e-6, 0) AS co2_low,
+    round_even({_added("pasture_m3")} * 1e-6, 0) AS pasture_water,
+    round_even({_added("animal_m3")} * 1e-6, 1) AS animal_water,
+    round_even({_added("reservoir_m3")} * 1e-6, 1) AS reservoir_water,
+    round_even({_added("round_even(water_ha, 0)")} * 1e-3, 2) AS water_area,
     round_even({_MEAN.format(c="stock")}, 2) AS stock_mean
   FROM prod WHERE product = '{HERD}' AND year IN {_YEARS} GROUP BY 1)"""
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, exact_sum, fixed, na_if_else, strict_sum
+from ..functions import exact_mean, exact_sum, fixed, na_if_else, strict_exact_sum
 from ..operators.model import (
     ABOVE_DEF,
     ABOVE_WF,
@@ -29,10 +29,12 @@ from ..operators.model import (
     CROP,
     HERD,
     IRRIGATED,
+    PRODUCTS,
     RAINFED,
     UNLINKED,
     Units,
     attributed,
+    of_years,
 )
 from ..plans.lookups import bound, broadcast_if_small, lookup
 
@@ -56,6 +58,8 @@ _SUPPLIER_COLUMNS = {
     "basin",
     "bwsf",
 }
+#: Decimals of the lines' measures.
+LINE_PLACES = 4
 _MEASURES = ("volume", "green_m3", "blue_m3", "ha_def", "co2_def", "co2_low", "co2_high")
 
 
@@ -161,21 +165,23 @@ def _origins(spark, sf_dir, columns) -> DataFrame:
 
 def _with_origins(lines: DataFrame, spark, sf_dir, columns) -> DataFrame:
     """Coefficient and place columns by supplier; places are joined only if needed."""
-    key = F.col("l_suppkey")
-    out = lines.withColumn(
-        "bwf",
-        F.when(
-            ~_unlinked(key), F.when(_irrigates(key), (key % 97 + 1) * 1.5).otherwise(F.lit(0.0))
-        ),
-    )
+    out = lines
+    if {"wf", "bwf"} & set(columns):
+        key = F.col("l_suppkey")
+        blue = F.when(_irrigates(key), (key % 97 + 1) * 1.5).otherwise(F.lit(0.0))
+        out = out.withColumn("bwf", F.when(~_unlinked(key), blue))
+        out = out.withColumn("wf", F.when(~_unlinked(key), blue + (key % 53 + 1) * 20.0))
     if _SUPPLIER_COLUMNS & set(columns):
         origins = _lookup(_origins(spark, sf_dir, columns), sf_dir, "supplier")
-        out = out.join(origins, key == F.col("s_suppkey"), "left")
+        out = out.join(origins, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         out = out.withColumn("attributed", attributed())
     return out.select(*columns)
 
 
 BULK = "l_quantity >= 50 AND (l_suppkey % 3 = 0 OR l_extendedprice * l_discount = 0)"
+LINKED = "l_suppkey % 10 != 9"
+# A basin that no supplier belongs to.
+EMPTY_BASIN = "BASIN_NODATA"
 RETURNED_BULK = "l_quantity >= 50 AND l_returnflag = 'R'"
 
 
@@ -186,11 +192,22 @@ def order_lines(
     blocs: Sequence[str] | None = None,
     with_bloc: bool = True,
     where: str | None = None,
+    products: Sequence[str] = PRODUCTS,
+    mark: str | None = None,
 ) -> DataFrame:
-    """One row per order line: year, bloc, product, supplier and measures."""
+    """One row per order line: year, bloc, product, supplier and measures.
+
+    A single product is a filter on the stored column, which the scan can use.  ``mark``
+    is a condition on the stored columns, whose outcome comes as ``marked``.
+    """
     lines = table(spark, sf_dir, "lineitem")
     if where is not None:
         lines = lines.where(where)
+    if CROP not in products:
+        # Without a status a line counts as herd.
+        lines = lines.where("l_linestatus IS NULL OR l_linestatus != 'O'")
+    elif HERD not in products:
+        lines = lines.where("l_linestatus = 'O'")
     measures = lines.selectExpr(
         "l_orderkey",
         "l_suppkey",
@@ -203,6 +220,7 @@ def order_lines(
         "rint(l_quantity * l_discount * 1e4D) / 1e4D AS co2_def",
         "rint(l_quantity * l_discount * 5e3D) / 1e4D AS co2_low",
         "rint(l_quantity * l_discount * 15e3D) / 1e4D AS co2_high",
+        *([f"coalesce({mark}, false) AS marked"] if mark else []),
     )
     orders = _order_years(spark, sf_dir, years, blocs, with_bloc or blocs is not None)
     orders = _lookup(orders, sf_dir, "orders")
@@ -217,10 +235,17 @@ def supplier_sums(
 ) -> DataFrame:
     """Order lines added up per supplier, with their number.
 
-    A measure listed as ``strict`` is missing if one of its lines is.
+    Sums are decimals, exact to be added further.  A measure listed as ``strict`` is
+    missing if one of its lines is.
     """
-    sums = {m: strict_sum(m) if m in strict else exact_sum(m) for m in measures}
-    return lines.groupBy(*keys, "l_suppkey").agg(
+    return _line_sums(lines, measures, [*keys, "l_suppkey"], strict)
+
+
+def _line_sums(lines, measures, keys, strict=()) -> DataFrame:
+    sums = {
+        m: (strict_exact_sum if m in strict else exact_sum)(m, LINE_PLACES) for m in measures
+    }
+    return lines.groupBy(*keys).agg(
         *[total.alias(m) for m, total in sums.items()], F.count("*").alias("n_lines")
     )
 
@@ -234,24 +259,27 @@ def trade(
     per_supplier: bool = True,
     where: str | None = None,
     sums: DataFrame | None = None,
+    products: Sequence[str] = PRODUCTS,
 ) -> DataFrame:
     """Flow table with the named columns.
 
-    ``per_supplier`` adds the lines of a supplier up first (per year, bloc and
-    product), which every operator built on sums can use.  With a ``copies`` column,
-    equal volumes of a supplier are counted instead.  Without ``per_supplier`` there
-    is one row per order line.  ``sums`` hands in supplier sums made before.
+    ``per_supplier`` adds the lines up first per year, bloc and product, and per
+    supplier if a column depends on it, which every operator built on sums can use.
+    With a ``copies`` column, equal volumes of a supplier are counted instead.  Without
+    ``per_supplier`` there is one row per order line.  ``sums`` hands in supplier sums
+    made before.
     """
-    by_supplier = {"bwf", *_SUPPLIER_COLUMNS} & set(columns)
+    by_supplier = {"wf", "bwf", *_SUPPLIER_COLUMNS} & set(columns)
     if sums is not None:
         flows = sums if blocs is None else sums.where(F.col("bloc").isin(*blocs))
     else:
-        flows = order_lines(spark, sf_dir, years, blocs, "bloc" in columns, where)
+        flows = order_lines(spark, sf_dir, years, blocs, "bloc" in columns, where, products)
         keys = [c for c in ("year", "bloc", "product") if c in columns]
         if "copies" in columns:
             flows = flows.groupBy(*keys, "l_suppkey", "volume").agg(F.count("*").alias("copies"))
-        elif per_supplier and by_supplier:
-            flows = supplier_sums(flows, [m for m in _MEASURES if m in columns], keys)
+        elif per_supplier:
+            measures = [m for m in _MEASURES if m in columns]
+            flows = _line_sums(flows, measures, [*keys, "l_suppkey"] if by_supplier else keys)
     return _with_origins(flows, spark, sf_dir, columns)
 
 
@@ -265,6 +293,7 @@ def production(
     years: Sequence[str] | None = None,
     where: str | None = None,
     sums: DataFrame | None = None,
+    products: Sequence[str] = PRODUCTS,
 ) -> DataFrame:
     """Production per year, product and supplier; suppliers are all linked here.
 
@@ -273,7 +302,9 @@ def production(
     key = F.col("l_suppkey")
     keys = ("year", "product")
     if sums is None:
-        lines = order_lines(spark, sf_dir, years, with_bloc=False, where=where)
+        lines = order_lines(
+            spark, sf_dir, years, with_bloc=False, where=where, products=products
+        )
         made = supplier_sums(lines, _PRODUCED, keys)
     else:
         made = sums.groupBy(*keys, "l_suppkey").agg(
@@ -282,11 +313,11 @@ def production(
     sums = made.selectExpr(
         *keys,
         "l_suppkey",
-        "volume AS tonnes",
-        "green_m3 AS pasture_m3",
-        "blue_m3 AS animal_m3",
-        "coalesce(ha_def, 0D) AS def_ha",
-        "co2_def AS ghg_t",
+        "double(volume) AS tonnes",
+        "double(green_m3) AS pasture_m3",
+        "double(blue_m3) AS animal_m3",
+        "coalesce(double(ha_def), 0D) AS def_ha",
+        "double(co2_def) AS ghg_t",
         "n_lines",
     )
     tonnes = F.col("tonnes")
@@ -344,6 +375,7 @@ def bench(production: DataFrame, years: Sequence[str]) -> DataFrame:
         over = F.col(column) > F.col(f"_{column}")
         return na_if_else(over, F.lit(above), F.lit(below))
 
+    cutoffs = of_years(cutoffs, years).where(F.col("product").isin(CROP, HERD))
     return production.join(
         lookup(cutoffs, bound(years, (CROP, HERD))), ["year", "product"], "left"
     ).select(

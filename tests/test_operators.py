@@ -507,6 +507,62 @@ def test_combined_tables_and_key_check(spark):
         ("Beef", False),
         ("Beef", None),
     }
-    assert require_unique(both, ["origin_id"]) is both
-    with pytest.raises(ValueError, match="repeat"):
-        require_unique(both.union(both), ["origin_id"])
+    assert require_unique(both, ["origin_id"]).count() == 3
+    with pytest.raises(Exception, match="repeat"):
+        require_unique(both.union(both), ["origin_id"]).collect()
+
+
+def test_repeated_tags_fail_instead_of_multiplying(spark, bench):
+    df = flows(spark, [("2015", "A", "Soy", "M-1", "B", 1.0, 0.0, 0.0, 1.0, 1.0, 10.0)])
+    twice = bench.withColumn("wf", F.lit(1.0))
+    twice = twice.union(twice)
+    medians = spark.createDataFrame([("2015", "Soy", 1.0)], "year string, product string, median double")
+    for run in (
+        lambda b: hotspot.hotspot_origins(df, b, ["A"], ["2015"]),
+        lambda b: hotspot.hotspot_clearing_share(df, b, ["A"], ["2015"], ONE),
+        lambda b: savings.median_savings(df, b, medians, ["A"], ["2015"], units=ONE),
+    ):
+        with pytest.raises(Exception, match="repeat"):
+            run(twice).collect()
+
+
+def test_zero_base_keeps_its_tail(spark, settings, rows):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    y, b = "2015", "A"
+    df = flows(
+        spark,
+        [(y, b, "Soy", f"M-{i}", "B", 2.0, 0.0, 0.0, 1.0, 0.0, float(i)) for i in range(1, 30)],
+    )
+    got = rows(tail.tail_origins(df, ["A"], ["2015"]))
+    # The blue coefficient is zero, so the base is; all 29 ranked origins are beyond it.
+    assert len(got) == 29
+    assert {r["vol_base"] for r in got} == {0.0} and {r["perc"] for r in got} == {None}
+    assert max(r["volume_cum"] for r in got) == 58.0
+
+
+def test_ratios_do_not_depend_on_the_reported_units(spark):
+    crop = spark.createDataFrame(
+        [("2015", "Soy", 4e9, 2e9, 6e8, 8e8, 2000.0, 1900.0, 100.0, 1e6)],
+        "year string, product string, tonnes double, planted_ha double, def_ha double, "
+        "ghg_t double, wf double, gwf double, bwf double, irrigated_ha double",
+    )
+    herd = spark.createDataFrame(
+        [("2015", 4e12, 3e9, 1e8, 2e9, 4e12, 8e12, 5e12, 1e12, 3e12, 0.5, 1.25)],
+        "year string, live_kg double, pasture_ha double, def_ha double, ghg_t double, "
+        "co2_high_kg double, co2_low_kg double, pasture_m3 double, animal_m3 double, "
+        "reservoir_m3 double, water_ha double, stock double",
+    ).withColumn("product", F.lit("Beef"))
+    other = Units(mass=1e-3, area=1e-4, carbon=1e-5, water=1e-7, kilograms=1e-8)
+    for run, names in (
+        (
+            lambda u: national.crop_production_summary(crop, u),
+            ["yield", "cleared_per_kt", "co2_per_t", "water_per_t", "green_per_t", "blue_per_t", "pct_blue"],
+        ),
+        (
+            lambda u: national.herd_production_summary(herd, ["2015"], u),
+            ["cleared_per_kt", "co2_def_per_t", "co2_low_per_t", "co2_high_per_t", "pasture_per_t", "animal_per_t", "reservoir_per_t"],
+        ),
+    ):
+        ours, theirs = run(Units()).first(), run(other).first()
+        assert [ours[n] for n in names] == [theirs[n] for n in names]
+        assert all(ours[n] for n in names)

@@ -57,8 +57,29 @@ def test_staged_table_goes_to_the_named_folder(spark):
     assert "Range" not in staged._jdf.queryExecution().executedPlan().toString()
     folder = os.path.dirname(staged.inputFiles()[0].removeprefix("file://"))
     assert os.path.isdir(folder)
-    assert staging.drop_staged(spark) >= 1
-    assert not os.path.isdir(folder)
+    assert staged.count() == 10
+
+
+def test_a_scope_deletes_its_own_tables_only(spark):
+    with staging.staged(spark):
+        outer = staging.stage(spark.range(3))
+        with staging.staged(spark):
+            inner = staging.stage(spark.range(4))
+            gone = os.path.dirname(inner.inputFiles()[0].removeprefix("file://"))
+            assert inner.count() == 4
+        assert not os.path.isdir(gone)
+        assert outer.count() == 3
+        kept = os.path.dirname(outer.inputFiles()[0].removeprefix("file://"))
+    assert not os.path.isdir(kept)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = _Session("spark://host:7077")
+    with pytest.raises(RuntimeError):
+        staging.shared_folder(session)
+    session.get = lambda name, default: "file:///scratch"
+    with pytest.raises(RuntimeError, match="one machine"):
+        staging.shared_folder(session)
 
 
 class _Session:
