@@ -69,13 +69,28 @@ def coefficient_layer(
     The year test follows the join: a place never seen in production stays (with a
     missing year), a place seen only in other years drops out.
     """
-    side = production.where(F.col("product") == product).select(
-        "origin_id", "year", F.col(coefficient).alias("coef")
-    )
-    joined = side.join(place.select("origin_id", "geometry"), "origin_id", how)
+    coef = F.col(coefficient)
     if zero_is_missing:
-        joined = joined.withColumn("coef", F.nullif(F.col("coef"), F.lit(0.0)))
-    return joined.where(missing_or_equal(F.col("year"), year)).select(
+        coef = F.nullif(coef, F.lit(0.0))
+    side = production.where(F.col("product") == product)
+    shown = F.struct("year", coef.alias("coef"))
+    if how == "inner":
+        side = side.where(missing_or_equal(F.col("year"), year))
+        joined = side.select("origin_id", shown.alias("_row")).join(
+            place.select("origin_id", "geometry"), "origin_id"
+        )
+    else:
+        # One row per origin meets the geometries: what it shows, which may be nothing.
+        per_origin = side.groupBy("origin_id").agg(
+            F.collect_list(F.when(missing_or_equal(F.col("year"), year), shown)).alias("_rows")
+        )
+        unseen = F.array(
+            F.struct(F.lit(None).cast("string").alias("year"), F.lit(None).cast("double").alias("coef"))
+        )
+        joined = per_origin.join(place.select("origin_id", "geometry"), "origin_id", how).select(
+            "origin_id", "geometry", F.explode(F.coalesce("_rows", unseen)).alias("_row")
+        )
+    return joined.select("origin_id", "_row.year", "_row.coef", "geometry").select(
         "origin_id", "year", "coef", bins.label(F.col("coef")).alias("bin"), "geometry"
     )
 
@@ -112,31 +127,51 @@ def herd_pasture_bins(production: DataFrame, place: DataFrame, year: str) -> Dat
     return coefficient_layer(production, place, year, HERD, "gwf", HERD_PASTURE)
 
 
-def bench_classes(
-    bench: DataFrame, place: DataFrame, year: str, product: str, second_tag: str, clearing_tag: str
+def bench_sheets(
+    bench: DataFrame,
+    place: DataFrame,
+    year: str,
+    product: str,
+    second_tag: str,
+    clearings: Sequence[str],
 ) -> DataFrame:
-    """Benchmark class of each place: the water tag and a second tag.
+    """Benchmark class of each place on each clearing sheet: the water tag and a second tag.
 
-    Rows are chosen before the outer join, so every place is kept; unmatched places
-    have no class.
+    Rows are chosen before the outer join, so every place is kept on every sheet;
+    unmatched places have no class.  All sheets come from one join.
     """
     chosen = bench.where(
         (F.col("product") == product)
         & (F.col("year") == year)
-        & (F.col("tag_def") == clearing_tag)
+        & F.col("tag_def").isin(*clearings)
     ).select(
-        "origin_id", "year", na_concat(F.col("tag_wf"), ", ", F.col(second_tag)).alias("tag")
+        "origin_id",
+        F.col("tag_def").alias("clearing"),
+        "year",
+        na_concat(F.col("tag_wf"), ", ", F.col(second_tag)).alias("tag"),
     )
-    return chosen.join(place.select("origin_id", "geometry"), "origin_id", "full").select(
-        "origin_id", "year", "tag", "geometry"
+    sheets = F.explode(F.array(*[F.lit(c) for c in clearings])).alias("clearing")
+    spread = place.select("origin_id", "geometry", sheets)
+    return chosen.join(spread, ["origin_id", "clearing"], "full").select(
+        "origin_id", "year", "tag", "geometry", "clearing"
     )
 
 
+def crop_bench_sheets(bench, place, year: str, clearings: Sequence[str]) -> DataFrame:
+    """Water and irrigation class of the crop origins, per clearing sheet."""
+    return bench_sheets(bench, place, year, CROP, "tag_irr", clearings)
+
+
+def herd_bench_sheets(bench, place, year: str, clearings: Sequence[str]) -> DataFrame:
+    """Water and scarcity class of the herd origins, per clearing sheet."""
+    return bench_sheets(bench, place, year, HERD, "tag_wsf", clearings)
+
+
 def crop_bench_classes(bench, place, year: str, clearing_tag: str) -> DataFrame:
-    """Water and irrigation class of the crop origins."""
-    return bench_classes(bench, place, year, CROP, "tag_irr", clearing_tag)
+    """Water and irrigation class of the crop origins on one sheet."""
+    return crop_bench_sheets(bench, place, year, [clearing_tag]).drop("clearing")
 
 
 def herd_bench_classes(bench, place, year: str, clearing_tag: str) -> DataFrame:
-    """Water and scarcity class of the herd origins."""
-    return bench_classes(bench, place, year, HERD, "tag_wsf", clearing_tag)
+    """Water and scarcity class of the herd origins on one sheet."""
+    return herd_bench_sheets(bench, place, year, [clearing_tag]).drop("clearing")

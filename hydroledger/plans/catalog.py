@@ -412,13 +412,12 @@ def axis_max(spark, sf_dir):
 
 @query
 def basin_domain(spark, sf_dir):
-    return water.basin_domain(_water(spark, sf_dir, _BASIN_GRAIN))
+    return star.basins_with_water(spark, sf_dir, IMPORTERS)
 
 
 @query
 def panel_grid(spark, sf_dir):
-    domain = water.basin_domain(_water(spark, sf_dir, _BASIN_GRAIN))
-    return water.panel_grid(domain, YEARS, IMPORTERS)
+    return water.panel_grid(star.basins_with_water(spark, sf_dir, IMPORTERS), YEARS, IMPORTERS)
 
 
 def _panel(spark, sf_dir, types=water.TYPES, where=None):
@@ -542,25 +541,21 @@ def herd_blue_bins_bulk(spark, sf_dir):
     return layers.herd_blue_bins(*_layer_inputs(spark, sf_dir, HERD, "bwf", star.RETURNED_BULK))
 
 
-def _classes(spark, sf_dir, layer):
+def _classes(spark, sf_dir, sheets, product):
     """Both clearing classes, side by side as on the map sheet."""
-    tags = stage(star.bench(_bench_production(spark, sf_dir, [MAP_YEAR]), [MAP_YEAR]))
-    place = star.place(spark, sf_dir)
-    sheets = [
-        layer(tags, place, MAP_YEAR, clearing).withColumn("clearing", F.lit(clearing))
-        for clearing in (BELOW_DEF, ABOVE_DEF)
-    ]
-    return sheets[0].unionByName(sheets[1])
+    produced = _bench_production(spark, sf_dir, [MAP_YEAR], products=(product,))
+    tags = star.bench(produced, [MAP_YEAR])
+    return sheets(tags, star.place(spark, sf_dir), MAP_YEAR, (BELOW_DEF, ABOVE_DEF))
 
 
 @query
 def crop_bench_classes(spark, sf_dir):
-    return _classes(spark, sf_dir, layers.crop_bench_classes)
+    return _classes(spark, sf_dir, layers.crop_bench_sheets, CROP)
 
 
 @query
 def herd_bench_classes(spark, sf_dir):
-    return _classes(spark, sf_dir, layers.herd_bench_classes)
+    return _classes(spark, sf_dir, layers.herd_bench_sheets, HERD)
 
 
 # --- national production ----------------------------------------------------

@@ -283,6 +283,14 @@ def trade(
     return _with_origins(flows, spark, sf_dir, columns)
 
 
+def basins_with_water(spark: SparkSession, sf_dir: str, blocs: Sequence[str]) -> DataFrame:
+    """Named basins that some water flows from: suppliers first, then their basins."""
+    lines = order_lines(spark, sf_dir, blocs=blocs).where("green_m3 != 0 OR blue_m3 != 0")
+    suppliers = lines.select("l_suppkey").distinct()
+    basins = _with_origins(suppliers, spark, sf_dir, ["basin"])
+    return basins.where("basin IS NOT NULL").distinct()
+
+
 _PRODUCED = ("volume", "green_m3", "blue_m3", "ha_def", "co2_def")
 
 
