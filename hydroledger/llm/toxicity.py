@@ -23,7 +23,7 @@ STEM = 6
 #: At most so many labelled documents are learned from.
 TRAIN_ROWS = 12_000
 FOLDS = 5
-EPOCHS = 3
+EPOCHS = 6
 _PUNCTUATION = ".,;:!?\"'()[]{}|*_#"
 
 
@@ -77,9 +77,9 @@ def _sigmoid(x: float) -> float:
 
 def train(
     examples: list[tuple[np.ndarray, int]],
-    alpha: float = 0.3,
+    alpha: float = 2.0,
     beta: float = 1.0,
-    l1: float = 1.5,
+    l1: float = 4.0,
     l2: float = 1.0,
     epochs: int = EPOCHS,
 ) -> Model:
