@@ -30,6 +30,8 @@ from .model import (
 from .summary import KEYS, of_blocs
 
 ORIGIN = ("year", "product", "origin_id")
+#: Tasks that the flows of one origin are spread over.
+SALTS = 16
 
 
 def hotspot_places(bench: DataFrame) -> DataFrame:
@@ -57,6 +59,10 @@ def hotspot_origins(
     hot = of_years(hotspot_places(bench), years).where(F.col("product").isin(*products))
     hot = require_unique(hot.select(*keys, *([coefficient] if coefficient else [])), keys)
     kept = of_blocs(of_years(flows, years), blocs).where(F.col("product").isin(*products))
+    # Single flows of one origin may be a third of all: they are spread by what they hold.
+    kept = kept.withColumn("_salt", F.pmod(F.xxhash64(*kept.columns), F.lit(SALTS)))
+    hot = hot.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    keys = [*keys, "_salt"]
     if coefficient is None:
         joined = kept.join(hot.select(*keys), keys, "left_semi")
     else:

@@ -220,14 +220,22 @@ def _bench_production(spark, sf_dir, years=YEARS, sums=None, products=PRODUCTS):
     )
 
 
-def _savings(spark, sf_dir, products, sums=None, own=False):
-    """``own``: with the flows' own coefficients instead of the benchmark's."""
+_MADE = ["volume", "green_m3", "blue_m3", "ha_def", "co2_def"]
+
+
+def _savings(spark, sf_dir, products, own=False, cells=None, sums=None):
+    """``own``: with the flows' own coefficients instead of the benchmark's.
+
+    Flows and production come from one pass over the lines.  Rounding works on single
+    flows, so equal ones are counted, not added.
+    """
+    if cells is None:
+        lines = star.order_lines(spark, sf_dir, YEARS, products=products)
+        cells = stage(star.volume_cells(lines, _MADE))
+        sums = star.sums_of_cells(cells, _MADE)
     produced = _bench_production(spark, sf_dir, sums=sums, products=products)
-    # Rounding works on single flows, so equal ones are counted, not added.
     columns = [*KEYS, "origin_id", "volume", "copies", *(["wf", "bwf"] if own else [])]
-    flows = star.trade(
-        spark, sf_dir, columns, years=YEARS, blocs=IMPORTERS, products=products
-    )
+    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS, sums=cells)
     return savings.median_savings(
         flows,
         star.bench(produced, YEARS),
@@ -267,13 +275,14 @@ def median_savings_herd_own(spark, sf_dir):
 
 @query
 def savings_table(spark, sf_dir):
-    # One pass for the two footprints and for production, one for the single flows.
+    # One pass for the two footprints, for production and for the single flows.
     lines = star.order_lines(spark, sf_dir, YEARS)
-    sums = stage(star.supplier_sums(lines, _FOOTPRINT[3:]))
+    cells = stage(star.volume_cells(lines, _FOOTPRINT[3:]))
+    sums = stage(star.sums_of_cells(cells, _FOOTPRINT[3:]))
     blocs = (*IMPORTERS, HOME)
     flows = star.trade(spark, sf_dir, _FOOTPRINT, blocs=blocs, sums=sums)
     return savings.savings_table(
-        _savings(spark, sf_dir, (CROP, HERD), sums),
+        _savings(spark, sf_dir, (CROP, HERD), cells=cells, sums=sums),
         summary.crop_bloc_footprint(flows, blocs, SCALE),
         summary.herd_bloc_footprint(flows, blocs, SCALE),
         HOME,

@@ -250,6 +250,30 @@ def _line_sums(lines, measures, keys, strict=()) -> DataFrame:
     )
 
 
+def volume_cells(
+    lines: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("year", "bloc", "product")
+) -> DataFrame:
+    """Order lines added up per supplier and volume: equal flows once, with their number.
+
+    ``volume`` stays that of a single flow; ``volume_sum`` and the other measures are
+    decimal sums.  Where volumes are continuous this is as long as the lines.
+    """
+    sums = {"volume_sum" if m == "volume" else m: exact_sum(m, LINE_PLACES) for m in measures}
+    return lines.groupBy(*keys, "l_suppkey", "volume").agg(
+        F.count("*").alias("copies"), *[total.alias(m) for m, total in sums.items()]
+    )
+
+
+def sums_of_cells(
+    cells: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("year", "bloc", "product")
+) -> DataFrame:
+    """What :func:`supplier_sums` gives, from :func:`volume_cells` of the same measures."""
+    return cells.groupBy(*keys, "l_suppkey").agg(
+        *[exact_sum("volume_sum" if m == "volume" else m).alias(m) for m in measures],
+        F.sum("copies").alias("n_lines"),
+    )
+
+
 def trade(
     spark: SparkSession,
     sf_dir: str,

@@ -566,3 +566,24 @@ def test_ratios_do_not_depend_on_the_reported_units(spark):
         ours, theirs = run(Units()).first(), run(other).first()
         assert [ours[n] for n in names] == [theirs[n] for n in names]
         assert all(ours[n] for n in names)
+
+
+def test_flows_of_a_hot_origin_spread_over_tasks(spark, bench, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__shuffle__partitions="32",
+    )
+    n = 20_000
+    df = spark.range(n).select(
+        F.lit("2015").alias("year"),
+        F.lit("A").alias("bloc"),
+        F.lit("Soy").alias("product"),
+        F.when(F.col("id") % 3 == 0, "M-1").otherwise(F.concat(F.lit("X-"), "id")).alias("origin_id"),
+        (F.col("id") * 0.25).alias("volume"),
+        F.lit(1.0).alias("ha_def"),
+    )
+    got = hotspot.hotspot_origins(df, bench, ["A"], ["2015"])
+    sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == -(-n // 3)
+    assert len(sizes) >= 8 and sizes[-1] <= sum(sizes) / 3
