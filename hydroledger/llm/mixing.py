@@ -63,9 +63,9 @@ def _row_key() -> Column:
     )
 
 
-def _copy_number() -> Column:
+def _copy_number(key: str) -> Column:
     """Tells rows apart that repeat doc_id, source and text."""
-    return F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return F.row_number().over(Window.partitionBy(key).orderBy(key))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def packed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0))
         .cast("long")
         .alias("size"),
-    ).withColumn("_copy", _copy_number())
+    ).withColumn("_copy", _copy_number("_key"))
     placed = starts_in_order(sized, ["source"], ["doc_id", "_key", "_copy"], "size", "start")
     return checkpointed(placed)
 
@@ -278,7 +278,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         placed.where("size > 0")
         .withColumn("_source", F.struct("source"))
         .join(taken, ["_source", "start"])
-        .select("_key", F.col("_copy").alias("_number"), "_runs")
+        .select(
+            F.col("_key").alias("_mix_key"),
+            F.col("_copy").alias("_mix_number"),
+            F.col("_runs").alias("_mix_runs"),
+        )
     )
 
     @F.pandas_udf("string")
@@ -289,9 +293,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         )
 
     # The copies are numbered and joined after one shuffle by key.
-    keyed = docs.withColumn("_key", _row_key()).withColumn("_copy", _copy_number())
-    mixed = keyed.join(named, "_key").where(F.col("_copy") - F.col("_number") == 0)
-    mixed = mixed.withColumn("text", cut(F.col("text").cast("string"), "_runs"))
+    keyed = docs.withColumn("_mix_key", _row_key()).withColumn(
+        "_mix_copy", _copy_number("_mix_key")
+    )
+    mixed = keyed.join(named, "_mix_key").where(F.col("_mix_copy") - F.col("_mix_number") == 0)
+    mixed = mixed.withColumn("text", cut(F.col("text").cast("string"), "_mix_runs"))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(docs.columns)

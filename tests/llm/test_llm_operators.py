@@ -276,7 +276,7 @@ def test_mixed_documents_hold_the_words_taken(spark, docs):
     for r in mixing.mixed_documents(docs).collect():
         found = r.text.split()
         given[r.doc_id] += len(found)
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and {r[c] for c in CLASHES} == {-7.5}
         assert not Counter(found) - Counter((texts[r.doc_id] or "").split())
     assert given == Counter({k: v for k, v in taken.items() if v})
 
