@@ -29,6 +29,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+MARK = "\x00"
+#: Texts that are encoded together.
+GROUP_TEXTS = 256
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
@@ -68,33 +72,67 @@ def unpack(payload: bytes, bits: int, first: int, last: int) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
 
 
-class Encoder(dict):
-    """Ids of a white-space-separated word as little-endian 32-bit numbers, kept for reuse.
+class Known(dict):
+    """Ids of words as little-endian 32-bit numbers; None, and pending, until they are learned."""
 
-    The tokenizer drops white space and never joins what it separates, so the ids of
-    a text are those of its words, one after the other.
+    def __init__(self):
+        super().__init__()
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self[word] = None
+        self.pending.append(word)
+
+
+class Encoder:
+    """Encodes texts by their white-space-separated words, whose ids are kept for reuse.
+
+    The tokenizer drops white space and never joins what it separates, so the ids of a
+    text are those of its words, one after the other.  Words not seen yet are encoded
+    together, as one text, with a mark between them that stands for one id.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.end = np.array([END_ID], "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
-        return value
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text and the end id; a missing text is empty."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        words = (text or "").encode("utf-8", "replace").split()
-        return np.frombuffer(b"".join((*map(self.__getitem__, words), self.end)), "<u4")
+        self.known = Known()
+        (self.mark,) = np.frombuffer(self._one(MARK), "<u4")
+
+    def _one(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8") for w in words]
+        if any(MARK in t for t in texts):
+            self.known.update((w, self._one(t)) for w, t in zip(words, texts))
+            return
+        text = f" {MARK} ".join(texts)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        data = ids.tobytes()
+        for word, low, high in zip(words, [-1, *cuts], [*cuts, len(ids)]):
+            self.known[word] = data[4 * low + 4 : 4 * high]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text and the end id; a missing text is empty."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        get = self.known.__getitem__
+        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        found = [list(map(get, words)) for words in split]
+        fresh, self.known.pending = self.known.pending, []
+        for at in range(0, len(fresh), 2000):
+            self._learn(fresh[at : at + 2000])
+        if fresh:
+            for words, ids in zip(split, found):
+                for i in [i for i, x in enumerate(ids) if x is None]:
+                    ids[i] = get(words[i])
+        return [np.frombuffer(b"".join((*ids, self.end)), "<u4") for ids in found]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
@@ -133,13 +171,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(encoder.ids(text.as_py()))
-                names.append(doc_id)
-                held += len(ids[-1])
-                if held >= block_ids:
-                    yield close()
-                    block, start, held, ids, names = block + 1, start + held, 0, [], []
+            for at in range(0, batch.num_rows, GROUP_TEXTS):
+                part_of = batch.slice(at, GROUP_TEXTS)
+                encoded = encoder.ids(part_of.column(1).to_pylist())
+                for doc_id, found in zip(part_of.column(0).to_pylist(), encoded):
+                    ids.append(found)
+                    names.append(doc_id)
+                    held += len(found)
+                    if held >= block_ids:
+                        yield close()
+                        block, start, held, ids, names = block + 1, start + held, 0, [], []
         if ids:
             yield close()
 

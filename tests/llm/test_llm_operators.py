@@ -482,9 +482,9 @@ def test_texts_of_words_with_odd_white_space_and_marks():
 
     path = packed_ids.tokenizer_path()
     encoder, tokenizer = packed_ids.Encoder(path), Tokenizer.from_file(path)
-    for text in ("a b c", "It's NOT  a\ttest\x1cok", "é ́x Σας", "x<|endoftext|>y", "日本 🙂"):
+    for text in ("a b c", "It's NOT  a\ttest\x1cok", "é ́x Σας", "x<|endoftext|>y", "日本 🙂", "a\x00b \x00 c"):
         want = tokenizer.encode(text, add_special_tokens=False).ids + [2]
-        assert encoder.ids(text).tolist() == want
+        assert encoder.ids([text])[0].tolist() == want
 
 
 # --- 8 pages ------------------------------------------------------------------
