@@ -27,6 +27,8 @@ TOTAL = 1.5
 LIMIT = 2
 BLOCK_WORDS = 32
 SHARD_SLOTS = 65_536
+#: Shards whose slots one task lays out.
+SHARDS_PER_TASK = 16
 SEED = 20_240_917
 _ROUNDS = 4
 
@@ -151,7 +153,11 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     )
     # One row per shard in each source's window.
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0)).cast("long"))
+    counted = each.withColumn(
+        "first", F.coalesce(F.sum("count").over(earlier), F.lit(0)).cast("long")
+    )
+    # These few rows become all slots, so their tasks are numbered by slots, not by bytes.
+    return counted.repartition(-(-shards // SHARDS_PER_TASK), "source", "shard")
 
 
 def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
@@ -170,7 +176,6 @@ def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
     slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot")
     return (
         counts.where("count > 0")
-        .repartition("source", "shard")
         .select("shard", "source", "n_blocks", slot)
         .withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("int"))
         .where(F.col("epoch") < LIMIT)
