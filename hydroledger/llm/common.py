@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries of a task's word cache before it starts anew; it only saves time.
@@ -102,8 +102,6 @@ def starts_in_order(
     Rows are cut by range, so that a hot group spreads over many tasks; a row's start
     is the total of the group's earlier parts plus the running total inside the part.
     """
-    from pyspark.sql import Window
-
     parts = checkpointed(
         df.repartitionByRange(
             *[F.col(c).asc_nulls_last() for c in (*keys, *order)]
