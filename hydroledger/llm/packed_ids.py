@@ -72,6 +72,13 @@ def unpack(payload: bytes, bits: int, first: int, last: int) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Known(dict):
     """Ids of words as little-endian 32-bit numbers; None, and pending, until they are learned."""
 
@@ -88,7 +95,8 @@ class Encoder:
     """Encodes texts by their white-space-separated words, whose ids are kept for reuse.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a
-    text are those of its words, one after the other.  Words not seen yet are encoded
+    text are those of its words, one after the other.  New words of Latin letters go to the
+    tokenizer's model directly, as its first steps leave them whole; others are encoded
     together, as one text, with a mark between them that stands for one id.
     """
 
@@ -101,13 +109,47 @@ class Encoder:
         self.end = np.array([END_ID], "<u4").tobytes()
         self.known = Known()
         (self.mark,) = np.frombuffer(self._one(MARK), "<u4")
+        self.model, self.alphabet = self.tokenizer.model, _byte_letters()
+        self.tails: dict[str, bytes] = {}
 
     def _one(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, by the tokenizer's model alone.
+
+        Such a word is one piece whatever stands around it, and neither composes with its
+        neighbours nor changes its length in lower case.
+        """
+        if not word.isalpha() or max(word) >= "\u0250" or "\u0130" in word:
+            return None
+        piece = word.lower().encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+
+    def _tail(self, marks: str) -> bytes:
+        """Ids of the punctuation after a word."""
+        found = self.tails.get(marks)
+        if found is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            found = self.tails[marks] = self._one(marks) if marks else b""
+        return found
+
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in words]
+        rest = []
+        for word in words:
+            text = word.decode("utf-8")
+            letters = text.rstrip(".,;:!?")
+            ids = self._letters(letters)
+            if ids is None:
+                rest.append((word, text))
+            else:
+                self.known[word] = ids + self._tail(text[len(letters) :])
+        if rest:
+            self._learn_together(*zip(*rest))
+
+    def _learn_together(self, words: tuple[bytes, ...], texts: tuple[str, ...]) -> None:
         if any(MARK in t for t in texts):
             self.known.update((w, self._one(t)) for w, t in zip(words, texts))
             return

@@ -482,7 +482,8 @@ def test_texts_of_words_with_odd_white_space_and_marks():
 
     path = packed_ids.tokenizer_path()
     encoder, tokenizer = packed_ids.Encoder(path), Tokenizer.from_file(path)
-    for text in ("a b c", "It's NOT  a\ttest\x1cok", "é ́x Σας", "x<|endoftext|>y", "日本 🙂", "a\x00b \x00 c"):
+    for text in ("a b c", "It's NOT  a\ttest\x1cok", "é ́x Σας", "x<|endoftext|>y", "日本 🙂", "a\x00b \x00 c", "İstanbul Ǆ ŉa ſt ªº",
+                 "Öl, été; ÇA!? don't. end... ,x x,y ?", "क़ Å K Straße"):
         want = tokenizer.encode(text, add_special_tokens=False).ids + [2]
         assert encoder.ids([text])[0].tolist() == want
 
