@@ -10,7 +10,7 @@ fingerprint before anything is emitted, so their number never matters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +161,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(
+    docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates
+) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the smallest doc_id of each group.
 
-    All columns stay.  Rows without a doc_id cannot be named and are kept; of rows that
+    ``groups`` gives doc_id and component_id of every row.  All columns stay.  Rows without a doc_id cannot be named and are kept; of rows that
     repeat a kept doc_id one stays.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
