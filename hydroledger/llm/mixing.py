@@ -2,8 +2,8 @@
 
 Per source the words of its documents, in ascending doc_id order, are packed into blocks
 of BLOCK_WORDS words.  Every output shard draws how many of its slots each source gets:
-the whole part of its expectation, and the remainder by a multinomial draw.  A slot of
-a source is mapped to a block by a pseudorandom permutation of the source's block
+the whole part of its expectation, and the remainder by a multinomial draw conditioned on
+what remains, so that the shards' counts sum to the source's slots.  A slot of a source is mapped to a block by a pseudorandom permutation of the source's block
 numbers, a new one for each epoch, so blocks are taken evenly, and slots and blocks
 are joined by source and number.  No table of a permutation is ever kept.
 """
@@ -126,23 +126,46 @@ def targets(placed: DataFrame) -> DataFrame:
     )
 
 
+def dealt(rests: np.ndarray, shard: int, shards: int, seed: int = SEED) -> np.ndarray:
+    """What a shard draws of ``rests``, the slots of each source that go beyond whole parts.
+
+    The shards are halved again and again; what a half holds is split between its halves by
+    a multivariate hypergeometric draw, whose seed is the half's bounds.  So every shard
+    finds its own part alone, all parts sum to ``rests``, and shards get equally many.
+    """
+    total, low, high = int(rests.sum()), 0, shards
+    end = lambda at: total * at // shards
+    while high - low > 1 and len(rests):
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        left = end(middle) - end(low)
+        taken = np.zeros_like(rests)
+        # One source after the other, each from what the later ones leave.
+        behind = int(rests.sum())
+        for i in np.flatnonzero(rests):
+            behind -= int(rests[i])
+            taken[i] = rng.hypergeometric(int(rests[i]), behind, left) if left else 0
+            left -= int(taken[i])
+        if shard < middle:
+            rests, high = taken, middle
+        else:
+            rests, low = rests - taken, middle
+    return rests
+
+
 def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """source, n_blocks, shard, ``first`` and ``count``: the slots of a source in a shard.
 
-    Each shard draws for itself, from its number, so a repeated task draws the same.
+    Each shard draws for itself, from its number, so a repeated task draws the same; a
+    source's counts sum to its slots.
     """
     total = sources.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_slots))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable")
-        expected = pdf["slots"].to_numpy() / shards
-        whole = np.floor(expected)
-        part = expected - whole
-        rest = int(round(part.sum()))
-        rng = np.random.default_rng([seed, int(pdf["shard"].iloc[0])])
-        drawn = rng.multinomial(rest, part / part.sum()) if rest else 0
-        pdf["count"] = (whole + drawn).astype(np.int64)
+        whole, rests = np.divmod(pdf["slots"].to_numpy(np.int64), shards)
+        pdf["count"] = whole + dealt(rests, int(pdf["shard"].iloc[0]), shards, seed)
         return pdf[["source", "n_blocks", "shard", "count"]]
 
     each = (
@@ -161,10 +184,7 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
 
 
 def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
-    """shard, source, slot, epoch and block of every slot.
-
-    The few slots that the draws give a source beyond LIMIT epochs stay empty.
-    """
+    """shard, source, slot, epoch and block of every slot."""
 
     @F.pandas_udf("long")
     def block_of(
@@ -178,7 +198,6 @@ def slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
         counts.where("count > 0")
         .select("shard", "source", "n_blocks", slot)
         .withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("int"))
-        .where(F.col("epoch") < LIMIT)
         .withColumn(
             "block",
             block_of(

@@ -269,6 +269,24 @@ def test_shards_draw_about_their_share(spark):
     assert abs(total["a"] - 1000) <= 14 and abs(total["b"] - 301) <= 14 and total[None] <= 14
 
 
+def test_small_sources_get_all_their_slots(spark):
+    rows = [("hot", 5000, 9001)] + [(f"s{i:02}", 1 + i % 10, 2 * (1 + i % 10)) for i in range(60)]
+    sources = spark.createDataFrame(rows, "source string, n_blocks long, slots long")
+    counts = mixing.shard_counts(sources, shard_slots=100).cache()
+    got, per_shard = Counter(), Counter()
+    for r in counts.collect():
+        assert r["count"] >= 0
+        got[r.source] += r["count"]
+        per_shard[r.shard] += r["count"]
+    assert got == {name: n for name, _, n in rows}
+    assert len(per_shard) == 97 and max(per_shard.values()) - min(per_shard.values()) <= 1
+    taken = Counter((r.source, r.block) for r in mixing.slots(counts).collect())
+    # At its limit a source gives each block twice.
+    assert all(taken[name, b] == 2 for name, n, _ in rows[1:] for b in range(n))
+    shards = [mixing.dealt(np.array([1] * 50), k, 50) for k in range(50)]
+    assert sum(shards).tolist() == [1] * 50 and len({int(x.argmax()) for x in shards}) == 50
+
+
 def test_mixed_documents_hold_the_words_taken(spark, docs):
     taken = Counter()
     for r in mixing.mixture(docs).collect():
