@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroledger.llm import mixing, near_copies, packed_ids, simhash_ball, spaced_seeds, toxicity
+from hydroledger.llm import mixing, packed_ids, simhash_ball, spaced_seeds, toxicity
 from hydroledger.llm.common import new_folder, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group joined by a five-word Jaccard similarity of 0.8 or more."""
-    return simhash_ball.keep_one(docs, near_copies.near_copies)
+    """One document of each group joined by SimHashes of three-word shingles within two bits."""
+    return simhash_ball.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

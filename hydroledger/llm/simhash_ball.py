@@ -10,9 +10,10 @@ fingerprint before anything is emitted, so their number never matters.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,8 @@ from .common import checkpointed
 BITS = 64
 SHINGLE = 3
 SEED = 42
+# Names of the columns that ``keep_one`` adds meanwhile.
+_KEY, _FP, _ROW = "_simhash_key", "_simhash_fp", "_simhash_row"
 
 # One row per byte value: its bits, lowest first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -56,6 +59,12 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def _signed(text: str | None) -> int:
+    """SimHash as a signed 64-bit number."""
+    value = simhash(text)
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and signed 64-bit ``fp`` of every row; a missing text has no words."""
 
@@ -147,6 +156,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     as such and is never a component's name unless nothing else is; extra columns are
     left out; an empty table gives no rows.
     """
+    marked, classes = _classes(docs)
+    return marked.join(classes, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of every row; fp, root and component_id of every distinct fp; both written.
+
+    ``root`` tells components apart even where a doc_id with several texts names two of them.
+    """
     marked = checkpointed(fingerprints(docs))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     rooted = checkpointed(
@@ -155,21 +175,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ).withColumn("root", F.coalesce("root", "fp"))
     )
     names = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    classes = checkpointed(rooted.join(names, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked, checkpointed(rooted.join(names, "root").select("fp", "root", "component_id"))
 
 
-def keep_one(
-    docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates
-) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each group.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each group stays, whole.
 
-    ``groups`` gives doc_id and component_id of every row.  All columns stay.  Rows without a doc_id cannot be named and are kept; of rows that
-    repeat a kept doc_id one stays.
+    It is the row with the smallest doc_id.  A doc_id that comes with several texts is no
+    single document: of its rows in a group the one with the smallest fingerprint stays, of
+    equal fingerprints the one with the smallest hash of its text, so reruns agree.
+    Rows without a doc_id cannot be named and are kept.  All columns stay, whatever
+    their names; an empty table stays empty.
     """
-    keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    marked, classes = _classes(docs)
+    best = F.min(F.struct("doc_id", "fp")).alias("best")
+    named = marked.where(F.col("doc_id").isNotNull())
+    times = named.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    keep = checkpointed(
+        named.distinct()
+        .join(classes, "fp")
+        .groupBy("root")
+        .agg(best)
+        .select("best.*")
+        .join(times, "doc_id")
+    )
+    unnamed = docs.where(F.col("doc_id").isNull())
+    once = keep.where("rows = 1").select(F.col("doc_id").alias(_KEY))
+    kept = docs.join(once, docs["doc_id"] == F.col(_KEY), "left_semi").union(unnamed)
+    several = keep.where("rows > 1").select(F.col("doc_id").alias(_KEY), F.col("fp").alias(_FP))
+    if several.isEmpty():
+        return kept
+    own = F.pandas_udf(lambda x: pd.Series([_signed(t) for t in x], dtype="int64"), "long")
+    first = Window.partitionBy(_KEY, _FP).orderBy(F.xxhash64(F.col("text").cast("string")))
+    ids = several.select(_KEY).distinct()
+    chosen = (
+        docs.join(ids, docs["doc_id"] == F.col(_KEY))
+        .withColumn(_FP, own(F.col("text").cast("string")))
+        .join(several, [_KEY, _FP], "left_semi")
+        .withColumn(_ROW, F.row_number().over(first))
+        .where(F.col(_ROW) == 1)
+    )
+    return kept.union(chosen.select(*[F.col(f"`{c}`") for c in docs.columns]))

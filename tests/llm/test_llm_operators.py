@@ -20,7 +20,6 @@ from hydroledger.llm import (
     license_scan,
     mil_quality,
     mixing,
-    near_copies,
     packed_ids,
     permutation_index,
     simhash_ball,
@@ -362,53 +361,22 @@ def test_one_of_each_group_stays(spark, docs):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
-def five_words(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-
-
-@pytest.mark.parametrize("window", [1, near_copies.WINDOW])
-def test_stage_finds_near_copies_beyond_two_bits(spark, window):
-    rng = random.Random(12)
-    texts = []
-    for i in range(30):  # copies with one to ten words changed, and copies of copies
-        w = words(rng, rng.choice([60, 150, 400]), 5000).split()
-        texts.append(" ".join(w))
-        for _ in range(3):
-            for at in rng.sample(range(len(w)), rng.randint(1, max(1, len(w) // 50))):
-                w[at] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(w))
-    base = words(rng, 300, 5000).split()  # one large group, and texts half of it under the same keys
-    for i in range(40):
-        texts.append(" ".join(base[:at] + [f"y{i}"] + base[at + 1 :]) if (at := rng.randrange(300)) else "")
-        texts.append(" ".join(base[:200]) + " " + words(rng, 100, 5000))
-    texts += ["", None, " ", "one two", "One  two", "one three", texts[0].upper()]
-    order = list(range(len(texts)))
-    rng.shuffle(order)
-    rows = [(i, texts[k], "en", "a", 1) for i, k in enumerate(order)]
-    docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    sets = {r[0]: five_words(r[1]) for r in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    want = brute_components(sets, alike)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, window=window).collect()}
-    # Nothing is joined that should not be; with the usual window, nothing is missed.
-    assert all(want[i] == want[c] for i, c in got.items())
-    prints = {r[0]: brute_simhash(r[1]) for r in rows}
-    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if alike(a, b)]
-    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs) > 50
-    if window == near_copies.WINDOW:
-        assert got == want
-        kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
-        assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
-
-
-def test_near_copy_bands_reach_the_similarity():
-    assert license_scan.collision_probability(0.8, near_copies.BANDS, near_copies.ROWS) > 0.9999
-
-
-def test_near_copies_of_odd_and_empty_tables(spark, docs, nothing):
-    assert near_copies.near_copies(docs).count() == docs.count()
-    assert near_copies.near_copies(nothing).count() == 0
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(31)
+    a, b, c = (words(rng, 80, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, c.upper()), (4, ""), (5, None), (None, c)]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)] * 2
+    seen = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, DOCS).repartition(parts)
+        kept = simhash_ball.keep_one(df)
+        assert kept.columns == df.columns
+        seen.append(sorted(((r.doc_id, r.text) for r in kept.collect()), key=str))
+    # One row of each group: of a's, of b's, of c's, of those without words; unnamed rows stay.
+    named = [(i, simhash_ball.simhash(t)) for i, t in seen[0] if i is not None]
+    assert sorted(named) == sorted((i, simhash_ball.simhash(t)) for i, t in [(1, a), (1, b), (3, c), (4, "")])
+    assert sum(i is None for i, _ in seen[0]) == 2
+    assert seen[0] == seen[1]
 
 
 # --- 5 and 10 classifiers -----------------------------------------------------
