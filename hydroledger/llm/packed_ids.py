@@ -13,6 +13,8 @@ unpacks all its ids at once.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS
+from .common import checkpointed
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
+#: Words of one generation of a worker process's cache; it only saves time.
+KEPT_WORDS = 600_000
+#: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
+BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Texts that are encoded together.
@@ -80,15 +86,28 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Known(dict):
-    """Ids of words as little-endian 32-bit numbers; None, and pending, until they are learned."""
+    """Ids of words as little-endian 32-bit numbers; None, and pending, until they are learned.
+
+    Two generations: what is used again moves to the newer one, the older one is
+    dropped when the newer is full.
+    """
 
     def __init__(self):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.pending: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> None:
-        self[word] = None
-        self.pending.append(word)
+    def __missing__(self, word: bytes) -> bytes | None:
+        found = self[word] = self.older.get(word)
+        if found is None:
+            self.pending.append(word)
+        return found
+
+    def renew(self) -> None:
+        """Start a new generation when this one is full; nothing may be pending."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -110,22 +129,31 @@ class Encoder:
         self.known = Known()
         (self.mark,) = np.frombuffer(self._one(MARK), "<u4")
         self.model, self.alphabet = self.tokenizer.model, _byte_letters()
+        vocabulary = self.tokenizer.get_vocab_size()
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(vocabulary)]
         self.tails: dict[str, bytes] = {}
 
     def _one(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes | None:
+    def _letters(self, word: bytes) -> bytes | None:
         """Ids of a word of Latin letters, by the tokenizer's model alone.
 
         Such a word is one piece whatever stands around it, and neither composes with its
         neighbours nor changes its length in lower case.
         """
-        if not word.isalpha() or max(word) >= "\u0250" or "\u0130" in word:
-            return None
-        piece = word.lower().encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+        if word.isascii():
+            if word and not word.isalpha():
+                return None
+            piece = word.lower().decode("ascii")
+        else:
+            text = word.decode("utf-8")
+            if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+                return None
+            piece = text.lower().encode("utf-8").decode("latin-1").translate(self.alphabet)
+        as_bytes = self.as_bytes
+        return b"".join([as_bytes[t.id] for t in self.model.tokenize(piece)])
 
     def _tail(self, marks: str) -> bytes:
         """Ids of the punctuation after a word."""
@@ -139,13 +167,17 @@ class Encoder:
     def _learn(self, words: list[bytes]) -> None:
         rest = []
         for word in words:
-            text = word.decode("utf-8")
-            letters = text.rstrip(".,;:!?")
-            ids = self._letters(letters)
+            bare = word.rstrip(b".,;:!?")
+            tail = word[len(bare) :].decode("ascii")
+            ids = dict.get(self.known, bare) if tail else None
             if ids is None:
-                rest.append((word, text))
-            else:
-                self.known[word] = ids + self._tail(text[len(letters) :])
+                ids = self._letters(bare)
+                if ids is None:
+                    rest.append((word, word.decode("utf-8")))
+                    continue
+                if tail:
+                    self.known[bare] = ids
+            self.known[word] = ids + self._tail(tail)
         if rest:
             self._learn_together(*zip(*rest))
 
@@ -162,8 +194,14 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text and the end id; a missing text is empty."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        self.known.renew()
+        try:
+            return self._ids(texts)
+        except BaseException:
+            self.known = Known()  # what was pending must not stay without ids
+            raise
+
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
         get = self.known.__getitem__
         split = [(text or "").encode("utf-8", "replace").split() for text in texts]
         found = [list(map(get, words)) for words in split]
@@ -177,6 +215,14 @@ class Encoder:
         return [np.frombuffer(b"".join((*ids, self.end)), "<u4") for ids in found]
 
 
+def process_encoder(path: str) -> Encoder:
+    """This worker process's encoder: its tasks share the words that it has learned."""
+    home = sys.modules.setdefault("_packed_ids_worker", types.ModuleType("_packed_ids_worker"))
+    if getattr(home, "path", None) != path:
+        home.path, home.encoder = path, Encoder(path)
+    return home.encoder
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts to ``folder`` in ascending doc_id order.
 
@@ -194,7 +240,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = process_encoder(tokenizer), TaskContext.get().partitionId()
         block, start, ids, names = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -252,7 +298,9 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.sum("n_ids").alias("_ids"))
         .select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("base"))
     )
-    return rows.join(bases, "part")
+    bases = checkpointed(bases)
+    few = bases.count() <= BROADCAST_PARTS
+    return rows.join(F.broadcast(bases) if few else bases, "part")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
