@@ -86,7 +86,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Known(dict):
-    """Ids of words as little-endian 32-bit numbers; None, and pending, until they are learned.
+    """Ids of words as little-endian 32-bit numbers.
 
     Two generations: what is used again moves to the newer one, the older one is
     dropped when the newer is full.
@@ -95,20 +95,19 @@ class Known(dict):
     def __init__(self):
         super().__init__()
         self.older: dict[bytes, bytes] = {}
-        self.pending: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> bytes | None:
-        found = self[word] = self.older.get(word)
-        if found is None:
-            self.pending.append(word)
-        return found
 
     def renew(self) -> None:
-        """Start a new generation when this one is full; nothing may be pending."""
+        """Start a new generation when this one is full."""
         if len(self) > KEPT_WORDS:
             self.older = dict(self)
             self.clear()
 
+    def unlearned(self, words: set[bytes]) -> list[bytes]:
+        """Those of ``words``, none of which is in the newer generation, not known at all."""
+        kept = self.older.keys() & words
+        self.update({w: self.older[w] for w in kept})
+        return list(words - kept)
+
 
 class Encoder:
     """Encodes texts by their white-space-separated words, whose ids are kept for reuse.
@@ -169,7 +168,7 @@ class Encoder:
         for word in words:
             bare = word.rstrip(b".,;:!?")
             tail = word[len(bare) :].decode("ascii")
-            ids = dict.get(self.known, bare) if tail else None
+            ids = self.known.get(bare) if tail else None
             if ids is None:
                 ids = self._letters(bare)
                 if ids is None:
@@ -192,26 +191,20 @@ class Encoder:
         for word, low, high in zip(words, [-1, *cuts], [*cuts, len(ids)]):
             self.known[word] = data[4 * low + 4 : 4 * high]
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text and the end id; a missing text is empty."""
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each whole text, given in UTF-8, and the end id; a missing text is empty."""
         self.known.renew()
-        try:
-            return self._ids(texts)
-        except BaseException:
-            self.known = Known()  # what was pending must not stay without ids
-            raise
-
-    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        get = self.known.__getitem__
-        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        get = self.known.get
+        split = [(text or b"").split() for text in texts]
         found = [list(map(get, words)) for words in split]
-        fresh, self.known.pending = self.known.pending, []
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        missing = {words[i] for words, at in zip(split, gaps) for i in at}
+        fresh = self.known.unlearned(missing)
         for at in range(0, len(fresh), 2000):
             self._learn(fresh[at : at + 2000])
-        if fresh:
-            for words, ids in zip(split, found):
-                for i in [i for i, x in enumerate(ids) if x is None]:
-                    ids[i] = get(words[i])
+        for words, ids, at in zip(split, found, gaps):
+            for i in at:
+                ids[i] = get(words[i])
         return [np.frombuffer(b"".join((*ids, self.end)), "<u4") for ids in found]
 
 
@@ -234,7 +227,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
     bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size())
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ranged = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary")
+        )
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
