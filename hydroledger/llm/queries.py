@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
+from . import fill_middle, html_blocks, lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
@@ -57,6 +57,20 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(whole, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_permutation_index": op2_permutation_index,
@@ -68,6 +82,37 @@ QUERIES = {
     "op8_html_blocks": op8_html_blocks,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_mil_quality": op10_mil_quality,
+    "op12_fill_middle": op12_fill_middle,
 }
-#: SQL can express none of them as they stand: hashing, drawing and learning are tested instead.
-ORACLE: dict[str, str] = {}
+
+_OP12_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS draws
+    FROM documents
+), lines AS (
+    SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM texts
+), drawn AS (
+    SELECT *, len(units) AS n,
+        ('0x' || draws[1:8])::UBIGINT % (len(units) + 1)::UBIGINT AS one,
+        ('0x' || draws[9:16])::UBIGINT % (len(units) + 1)::UBIGINT AS other,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || draws[17:24])::UBIGINT % 100 >= 100 THEN 'plain'
+            WHEN ('0x' || draws[25:32])::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM lines
+), parts AS (
+    SELECT *, array_to_string(units[1:least(one, other)::BIGINT], '') AS prefix,
+        array_to_string(units[least(one, other)::BIGINT + 1:greatest(one, other)::BIGINT], '') AS middle,
+        array_to_string(units[greatest(one, other)::BIGINT + 1:], '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+#: Hashing by seed, drawing, learning and tokenizers have no SQL form: the others are tested instead.
+ORACLE: dict[str, str] = {"op12_fill_middle": _OP12_SQL}
