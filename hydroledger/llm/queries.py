@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, html_blocks, lbl_model, license_scan, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
+from . import fill_middle, html_blocks, lbl_model, license_scan, max_sketches, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
@@ -71,6 +71,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketches.search(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_permutation_index": op2_permutation_index,
@@ -83,6 +89,7 @@ QUERIES = {
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_mil_quality": op10_mil_quality,
     "op12_fill_middle": op12_fill_middle,
+    "op13_max_sketches": op13_max_sketches,
 }
 
 _OP12_SQL = r"""
@@ -114,5 +121,40 @@ SELECT doc_id, n, form,
 FROM parts
 """
 
+_OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), items AS (
+    SELECT item_id, text, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), wanted AS (
+    SELECT item_id, text, term, count(*) AS times
+    FROM (SELECT item_id, text, unnest(terms) AS term FROM items) GROUP BY ALL
+), sizes AS (
+    SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0
+), counts AS (
+    SELECT row, doc_id, n, term, count(*) AS tf
+    FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM wanted)
+    GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, sizes GROUP BY term
+), scores AS (
+    SELECT item_id, text, row, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM wanted JOIN counts USING (term) JOIN weights USING (term), sizes
+    GROUP BY item_id, text, row, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 #: Hashing by seed, drawing, learning and tokenizers have no SQL form: the others are tested instead.
-ORACLE: dict[str, str] = {"op12_fill_middle": _OP12_SQL}
+ORACLE: dict[str, str] = {"op12_fill_middle": _OP12_SQL, "op13_max_sketches": _OP13_SQL}
