@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
@@ -73,6 +75,14 @@ def labelled_sample(
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
 
 
+def kept_in_worker(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` makes, once per worker process and key: its tasks share it."""
+    home = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker"))
+    if key not in vars(home):
+        vars(home)[key] = build()
+    return vars(home)[key]
+
+
 class WordHashes(dict):
     """Cache from a word to a 64-bit number, made by ``of`` on first sight."""
 

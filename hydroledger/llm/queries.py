@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, html_blocks, lbl_model, license_scan, max_sketches, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
+from . import bpe_stream, fill_middle, html_blocks, lbl_model, license_scan, max_sketches, mil_quality, mixing, packed_ids, permutation_index, simhash_ball, spaced_seeds, toxicity
 from .common import new_folder, read_table
 
 
@@ -57,6 +57,16 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe_stream.decode(bpe_stream.encode(read_table(spark, sf_dir, "documents")))
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.transform(read_table(spark, sf_dir, "documents"))
     whole = fill_middle.restored(F.col("output"), F.col("form"))
@@ -88,6 +98,7 @@ QUERIES = {
     "op8_html_blocks": op8_html_blocks,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_mil_quality": op10_mil_quality,
+    "op11_bpe_stream": op11_bpe_stream,
     "op12_fill_middle": op12_fill_middle,
     "op13_max_sketches": op13_max_sketches,
 }
