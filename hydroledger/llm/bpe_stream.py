@@ -40,7 +40,7 @@ from .common import kept_in_worker
 from .packed_ids import tokenizer_path
 
 #: Words and pieces of one generation of a worker process's caches; they only save time.
-KEPT = 500_000
+KEPT_WORDS, KEPT_PIECES = 300_000, 100_000
 #: Bytes from which a piece is streamed, and a word's pieces are found slice by slice.
 LONG = 256
 #: Texts encoded together, characters of a long word per slice, ids decoded at a time.
@@ -287,7 +287,7 @@ class Encoder:
         marks = sorted(map(regex.escape, added), key=len, reverse=True)
         self.mark = regex.compile(b"(" + b"|".join(marks) + b")") if marks else None
         self.split = regex.compile(self.SPLIT)
-        self.words, self.pieces = Generations(KEPT), Generations(KEPT)
+        self.words, self.pieces = Generations(KEPT_WORDS), Generations(KEPT_PIECES)
         self.raw = {ord(letter): byte for byte, letter in byte_letters().items()}
 
     def _pieces(self, word: str) -> list[bytes]:
