@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ KEPT_WORDS = 600_000
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
-#: Texts that are encoded together.
-GROUP_TEXTS = 256
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 32 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
@@ -93,7 +94,7 @@ class Known(dict):
     """
 
     def __init__(self):
-        super().__init__()
+        super().__init__({b"": b""})
         self.older: dict[bytes, bytes] = {}
 
     def renew(self) -> None:
@@ -101,6 +102,7 @@ class Known(dict):
         if len(self) > KEPT_WORDS:
             self.older = dict(self)
             self.clear()
+            self[b""] = b""
 
     def unlearned(self, words: set[bytes]) -> list[bytes]:
         """Those of ``words``, none of which is in the newer generation, not known at all."""
@@ -124,7 +126,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.end = np.array([END_ID], "<u4").tobytes()
         self.known = Known()
         (self.mark,) = np.frombuffer(self._one(MARK), "<u4")
         self.model, self.alphabet = self.tokenizer.model, _byte_letters()
@@ -191,21 +192,49 @@ class Encoder:
         for word, low, high in zip(words, [-1, *cuts], [*cuts, len(ids)]):
             self.known[word] = data[4 * low + 4 : 4 * high]
 
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each whole text, given in UTF-8, and the end id; a missing text is empty."""
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, each followed by the end id, and where each text's ids end.
+
+        A missing text is empty.  Words are counted off by Arrow, so that each distinct
+        word of the group is looked up once.
+        """
         self.known.renew()
-        get = self.known.get
-        split = [(text or b"").split() for text in texts]
-        found = [list(map(get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        missing = {words[i] for words, at in zip(split, gaps) for i in at}
-        fresh = self.known.unlearned(missing)
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.known.get, distinct))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        fresh = self.known.unlearned({distinct[i] for i in gaps})
         for at in range(0, len(fresh), 2000):
             self._learn(fresh[at : at + 2000])
-        for words, ids, at in zip(split, found, gaps):
-            for i in at:
-                ids[i] = get(words[i])
-        return [np.frombuffer(b"".join((*ids, self.end)), "<u4") for ids in found]
+        for i in gaps:
+            found[i] = self.known[distinct[i]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy()
+        each = sizes[word]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        place = np.repeat((np.cumsum(sizes) - sizes)[word] - upto[:-1], each)
+        place += np.arange(len(place))
+        offsets = words.offsets.to_numpy()
+        ends = upto[offsets[1:] - offsets[0]]
+        texts_before = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        out = np.full(len(place) + len(texts), END_ID, "<u4")
+        out[np.arange(len(place)) + texts_before] = pool[place]
+        return out, ends + np.arange(1, len(texts) + 1)
+
+
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of at most ``GROUP_BYTES``; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    start, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and held + size > GROUP_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(start)
 
 
 def process_encoder(path: str) -> Encoder:
@@ -228,7 +257,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ranged = (
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary")
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
         )
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -254,13 +283,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_TEXTS):
-                part_of = batch.slice(at, GROUP_TEXTS)
-                encoded = encoder.ids(part_of.column(1).to_pylist())
-                for doc_id, found in zip(part_of.column(0).to_pylist(), encoded):
-                    ids.append(found)
+            for group in groups(batch):
+                flat, ends = encoder.ids(group.column(1))
+                low = 0
+                for doc_id, high in zip(group.column(0).to_pylist(), ends.tolist()):
+                    ids.append(flat[low:high])
                     names.append(doc_id)
-                    held += len(found)
+                    held, low = held + high - low, high
                     if held >= block_ids:
                         yield close()
                         block, start, held, ids, names = block + 1, start + held, 0, [], []
