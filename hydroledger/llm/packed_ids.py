@@ -39,7 +39,7 @@ BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 12 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
