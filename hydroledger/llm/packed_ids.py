@@ -33,13 +33,13 @@ END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
 #: Words of one generation of a worker process's cache; it only saves time.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
@@ -214,14 +214,17 @@ class Encoder:
         word = coded.indices.to_numpy()
         each = sizes[word]
         upto = np.concatenate(([0], np.cumsum(each)))
-        place = np.repeat((np.cumsum(sizes) - sizes)[word] - upto[:-1], each)
-        place += np.arange(len(place))
         offsets = words.offsets.to_numpy()
-        ends = upto[offsets[1:] - offsets[0]]
-        texts_before = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-        out = np.full(len(place) + len(texts), END_ID, "<u4")
-        out[np.arange(len(place)) + texts_before] = pool[place]
-        return out, ends + np.arange(1, len(texts) + 1)
+        ends = upto[offsets[1:] - offsets[0]] + np.arange(1, len(texts) + 1)
+        # A word's place in the pool less its place in the output, then one step per id.
+        first = ((np.cumsum(sizes) - sizes)[word] - upto[:-1]).astype(np.int32)
+        place = np.repeat(first, each)
+        place += np.arange(len(place), dtype=np.int32)
+        inside = np.ones(len(place) + len(texts), bool)
+        inside[ends - 1] = False
+        out = np.full(len(inside), END_ID, "<u4")
+        out[inside] = pool[place]
+        return out, ends
 
 
 def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
