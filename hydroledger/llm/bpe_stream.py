@@ -434,12 +434,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_in_worker(("bpe_stream", path), lambda: Encoder(path))
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(at, GROUP_TEXTS)
-                ids = pa.array(encoder.batch(part.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        with kept_in_worker(("bpe_stream", path), lambda: Encoder(path)) as encoder:
+            for batch in batches:
+                for at in range(0, batch.num_rows, GROUP_TEXTS):
+                    part = batch.slice(at, GROUP_TEXTS)
+                    ids = pa.array(encoder.batch(part.column(1).to_pylist()), pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     thin = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary")
@@ -455,17 +455,15 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = kept_in_worker(("bpe_stream decoder", path), lambda: Decoder(path))
-        decoder.reset()
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(at, GROUP_TEXTS)
-                texts = [
-                    decoder.whole(np.frombuffer(ids or b"", "<u4")) for ids in part.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string())],
-                    ["doc_id", "ids", "text"],
-                )
+        with kept_in_worker(("bpe_stream decoder", path), lambda: Decoder(path)) as decoder:
+            for batch in batches:
+                for at in range(0, batch.num_rows, GROUP_TEXTS):
+                    part = batch.slice(at, GROUP_TEXTS)
+                    ids = part.column(1).to_pylist()
+                    texts = [decoder.whole(np.frombuffer(x or b"", "<u4")) for x in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array(texts, pa.string())],
+                        ["doc_id", "ids", "text"],
+                    )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Seconds after which an idle worker process lets go of what its tasks share.
+IDLE_SECONDS = 3.0
 #: Entries of a task's word cache before it starts anew; it only saves time.
 CACHE_WORDS = 400_000
 
@@ -75,12 +79,21 @@ def labelled_sample(
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
 
 
-def kept_in_worker(key: tuple, build: Callable[[], object]) -> object:
-    """What ``build`` makes, once per worker process and key: its tasks share it."""
+@contextmanager
+def kept_in_worker(key: tuple, build: Callable[[], object]) -> Iterator[object]:
+    """What ``build`` makes, shared by the tasks that one worker process runs for a stage.
+
+    A task takes it out while it works and puts it back when it ends well.  A worker that
+    has not asked for it for ``IDLE_SECONDS`` lets it go, so that later stages have the memory.
+    """
     home = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker"))
-    if key not in vars(home):
-        vars(home)[key] = build()
-    return vars(home)[key]
+    kept = vars(home).setdefault("kept", {})
+    value = kept.pop(key, None) or build()
+    yield value
+    kept[key] = value
+    timer = threading.Timer(IDLE_SECONDS, lambda: kept.get(key) is value and kept.pop(key))
+    timer.daemon = True
+    timer.start()
 
 
 class WordHashes(dict):

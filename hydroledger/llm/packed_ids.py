@@ -13,8 +13,6 @@ unpacks all its ids at once.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_in_worker
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
 #: Words of one generation of a worker process's cache; it only saves time.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
@@ -240,14 +238,6 @@ def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def process_encoder(path: str) -> Encoder:
-    """This worker process's encoder: its tasks share the words that it has learned."""
-    home = sys.modules.setdefault("_packed_ids_worker", types.ModuleType("_packed_ids_worker"))
-    if getattr(home, "path", None) != path:
-        home.path, home.encoder = path, Encoder(path)
-    return home.encoder
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts to ``folder`` in ascending doc_id order.
 
@@ -267,7 +257,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = process_encoder(tokenizer), TaskContext.get().partitionId()
+        # Its tasks share the words that a worker process has learned.
+        with kept_in_worker(("packed_ids", tokenizer), lambda: Encoder(tokenizer)) as encoder:
+            yield from pack_all(batches, encoder)
+
+    def pack_all(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         block, start, ids, names = 0, 0, [], []
 
         def close() -> pa.RecordBatch:
