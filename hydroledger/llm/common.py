@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,8 +91,15 @@ def kept_in_worker(key: tuple, build: Callable[[], object]) -> Iterator[object]:
     kept = vars(home).setdefault("kept", {})
     value = kept.pop(key, None) or build()
     yield value
+    pa.default_memory_pool().release_unused()
     kept[key] = value
-    timer = threading.Timer(IDLE_SECONDS, lambda: kept.get(key) is value and kept.pop(key))
+
+    def let_go() -> None:
+        if kept.get(key) is value:
+            kept.pop(key, None)
+            pa.default_memory_pool().release_unused()
+
+    timer = threading.Timer(IDLE_SECONDS, let_go)
     timer.daemon = True
     timer.start()
 

@@ -31,13 +31,13 @@ END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
 #: Words of one generation of a worker process's cache; it only saves time.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 120_000
 #: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
