@@ -4,12 +4,16 @@ Adding doubles gives different last bits for every shuffle layout.  Here values
 as decimals: a double counts as the shortest decimal that reads back as it, to 18
 places.  A partial sum stays a DECIMAL(38,18) column, so that a sum of partial sums is
 the sum of the rows; it becomes a double only where it is reported.  Totals may reach
-1e20; beyond that, and for a value too small for the places, the job fails instead of
-wrapping or rounding to zero.
+1e20 (1e19 where rows are counted); beyond that the job fails instead of wrapping.
 
 Where a measure's decimals are known (``places``), the same sum is taken over whole
 numbers: high and low halves as BIGINT, which stay in generated code, meet in a decimal
-once per group.  A value with more decimals than declared fails the job.
+once per group.
+
+No value is lost in silence.  Each row is checked in the expression that is added up, so
+the check costs no aggregate: a value that the places change by more than a part in 10^9
+(18 places) or 10^14 (declared places) fails the job, and so does one that they would
+turn into zero.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import functions as F
 
 #: Type of partial sums.
 EXACT = "decimal(38,18)"
-_LEAST = "1e-18D"
-# A counted value times a count of equal rows fits decimal(38,12) without loss.
-_COUNTED, _COPIES = "decimal(24,12)", "decimal(13,0)"
+# Below this, 18 places can change a value by more than a part in 10^9.
+_SMALL, _CHANGE = "5e-10D", "1e-9D"
+# What the declared decimals may differ by from the double that stands for them, of itself.
+_FINER = "1e-14D"
+# A value's whole and broken parts, each times a count of equal rows, fit 38 digits.
+_VALUE, _WHOLE, _PART, _COPIES = "decimal(37,18)", "decimal(19,0)", "decimal(19,18)", "decimal(13,0)"
 _LOW_BITS = 24
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
@@ -61,27 +68,39 @@ def nz_sum(x: str, copies: str | None = None) -> Column:
     return F.expr(f"coalesce(cast({total} AS double), 0D)")
 
 
+def _fail(x: str, why: str) -> str:
+    """An error that names the expression."""
+    name = x.replace("\\", "").replace("'", '"')
+    return f"raise_error('{why}: {name}')"
+
+
+def _decimal_sql(x: str, kind: str = EXACT) -> str:
+    """A value as a decimal; an error where the places change it noticeably."""
+    value = f"cast({x} AS {kind})"
+    changed = f"abs({x}) < {_SMALL} AND abs(cast({value} AS double) - {x}) > {_CHANGE} * abs({x})"
+    fail = _fail(x, "a value is too small for 18 decimal places")
+    return f"CASE WHEN {changed} THEN {fail} ELSE {value} END"
+
+
 def _sum_sql(x: str, places: int | None = None) -> str:
     if places is None:
-        value = f"cast({x} AS {EXACT})"
-        if x.isidentifier():
-            small = f"raise_error('{x}: a value is too small for 18 decimal places')"
-            value = f"CASE WHEN abs({x}) < {_LEAST} AND {x} != 0 THEN {small} ELSE {value} END"
-        return f"sum({value})"
+        return f"sum({_decimal_sql(x)})"
     scaled = f"({x} * 1e{places}D)"
-    units = f"cast(rint({scaled}) AS bigint)"
+    finer = f"abs({scaled} - rint({scaled})) > {_FINER} * abs({scaled})"
+    fail = _fail(x, f"more than {places} decimal places")
+    units = f"CASE WHEN {finer} THEN {fail} ELSE cast(rint({scaled}) AS bigint) END"
     high = f"cast(sum(shiftright({units}, {_LOW_BITS})) AS decimal(28,0))"
-    low = f"cast(sum({units} & {_LOW_MASK}L) AS decimal(28,0))"
+    low = f"cast(sum(({units}) & {_LOW_MASK}L) AS decimal(28,0))"
     whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(28,0))"
-    # Far below half a unit, far above what a double leaves of the decimals.
-    finer = f"max(abs({scaled} - rint({scaled}))) > 1e-2D"
-    fail = f"raise_error('more than {places} decimal places in: {x}')"
     step = f"{Decimal(1).scaleb(-places):f}BD"
-    return f"cast(CASE WHEN {finer} THEN {fail} ELSE {whole} * {step} END AS {EXACT})"
+    return f"cast({whole} * {step} AS {EXACT})"
 
 
 def _counted_sql(x: str, copies: str) -> str:
-    return f"sum(cast({x} AS {_COUNTED}) * cast({copies} AS {_COPIES}))"
+    value, n = f"({_decimal_sql(x, _VALUE)})", f"cast({copies} AS {_COPIES})"
+    whole = f"cast({value} AS {_WHOLE})"
+    part = f"cast({value} - cast({whole} AS {_VALUE}) AS {_PART})"
+    return f"cast(sum({whole} * {n}) AS {_VALUE}) + cast(sum({part} * {n}) AS {_VALUE})"
 
 
 def _strict_sql(x: str, rows: str, places: int | None = None) -> str:

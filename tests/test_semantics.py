@@ -23,6 +23,7 @@ from hydroledger.functions import (
     r_round,
     ratio,
     signif,
+    strict_exact_sum,
     strict_sum,
 )
 from hydroledger.functions import bins as published
@@ -66,6 +67,42 @@ def test_declared_places_are_checked(spark):
         frame(spark, [0.12345]).agg(exact_sum("x", 4)).collect()
 
 
+@pytest.mark.parametrize("value", [4e-7, 0.00004, -0.00005, 1e-300, 1234.56789, 1e9 + 0.00005])
+def test_no_declared_value_vanishes(spark, value):
+    df = spark.range(1000).select(F.lit(value).alias("x"))
+    with pytest.raises(Exception, match="more than 4 decimal places"):
+        df.agg(exact_sum("x", 4)).collect()
+    with pytest.raises(Exception, match="more than 4 decimal places"):
+        df.agg(strict_exact_sum("CASE WHEN x IS NOT NULL THEN x ELSE 0D END", 4)).collect()
+
+
+@pytest.mark.parametrize("value", [4e-19, 1.234567894e-10, 3.0000001e-17])
+@pytest.mark.parametrize("x", ["x", "x * 1D", "CASE WHEN 'a' = 'a' THEN x END"])
+def test_no_value_or_expression_vanishes(spark, value, x):
+    df = spark.range(10).select(F.lit(value).alias("x"), F.lit(2).alias("n"))
+    for total in (exact_sum(x), nz_sum(x), nz_sum(x, "n"), strict_sum(x), exact_mean(x)):
+        with pytest.raises(Exception, match="too small"):
+            df.agg(total).collect()
+
+
+@pytest.mark.parametrize("value", [4e-13, 3e-17, 1e-18, 5.5, -7.25e-10, 123456789012.125])
+def test_small_and_large_values_are_counted(spark, value):
+    df = spark.range(250).select(F.lit(value).alias("x"), F.lit(4).alias("n"))
+    assert one(df, nz_sum("x", "n")) == float(Decimal(repr(value)) * 1000)
+    assert one(df, nz_sum("x")) == float(Decimal(repr(value)) * 250)
+
+
+def test_declared_values_at_both_ends(spark):
+    df = frame(spark, [0.0001, -0.0001, 0.0003, 9e13, 123456789.1234, 0.0])
+    assert one(df, exact_sum("x", 4)) == Decimal("90000123456789.1237")
+
+
+def test_checks_need_no_aggregate(spark):
+    df = frame(spark, [1.0]).agg(exact_sum("x", 4).alias("a"), exact_sum("x").alias("b"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(") == 3 and "max(" not in plan
+
+
 def test_means_of_small_coefficients(spark):
     df = spark.createDataFrame([(1.25e-9,), (3.75e-9,)], "x double")
     assert one(df, exact_mean("x")) == pytest.approx(2.5e-9, rel=1e-9)
