@@ -75,9 +75,16 @@ def _fail(x: str, why: str) -> str:
 
 
 def _decimal_sql(x: str, kind: str = EXACT) -> str:
-    """A value as a decimal; an error where the places change it noticeably."""
+    """A value as a decimal; an error where the places change it noticeably.
+
+    What is a partial sum already is exact: its type is known when the query is planned,
+    and the check falls away.
+    """
     value = f"cast({x} AS {kind})"
-    changed = f"abs({x}) < {_SMALL} AND abs(cast({value} AS double) - {x}) > {_CHANGE} * abs({x})"
+    changed = (
+        f"typeof({x}) != '{EXACT}' AND abs({x}) < {_SMALL} "
+        f"AND abs(cast({value} AS double) - {x}) > {_CHANGE} * abs({x})"
+    )
     fail = _fail(x, "a value is too small for 18 decimal places")
     return f"CASE WHEN {changed} THEN {fail} ELSE {value} END"
 
@@ -88,9 +95,11 @@ def _sum_sql(x: str, places: int | None = None) -> str:
     scaled = f"({x} * 1e{places}D)"
     finer = f"abs({scaled} - rint({scaled})) > {_FINER} * abs({scaled})"
     fail = _fail(x, f"more than {places} decimal places")
-    units = f"CASE WHEN {finer} THEN {fail} ELSE cast(rint({scaled}) AS bigint) END"
-    high = f"cast(sum(shiftright({units}, {_LOW_BITS})) AS decimal(28,0))"
-    low = f"cast(sum(({units}) & {_LOW_MASK}L) AS decimal(28,0))"
+    units = f"cast(rint({scaled}) AS bigint)"
+    # One check serves both halves.
+    checked = f"CASE WHEN {finer} THEN {fail} ELSE shiftright({units}, {_LOW_BITS}) END"
+    high = f"cast(sum({checked}) AS decimal(28,0))"
+    low = f"cast(sum({units} & {_LOW_MASK}L) AS decimal(28,0))"
     whole = f"cast({high} * {1 << _LOW_BITS} + {low} AS decimal(28,0))"
     step = f"{Decimal(1).scaleb(-places):f}BD"
     return f"cast({whole} * {step} AS {EXACT})"

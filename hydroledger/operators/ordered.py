@@ -1,5 +1,6 @@
 """Running totals and exact medians without one task per group.
 
+A median is found between two approximate quantiles, by counts.  For running totals,
 ``Window.partitionBy(group)`` would sort a whole group in one task.  Instead
 Spark's range partitioner cuts the rows at sampled boundaries of
 (group, order, tie), so even one huge group, or one huge set of equal order
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ascending, exact
+from ..plans.lookups import lookup
 from ..plans.staging import stage
 
 PART = "_part"
@@ -82,24 +84,56 @@ def running_total(
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+#: Share of a group's rows on each side of the middle that the median's bracket covers, and the
+#: accuracy of its ends: they are off by at most a rank in so many.
+BRACKET, ACCURACY = 5e-4, 10_000
+
+
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, bracket: float = BRACKET
+) -> DataFrame:
     """Exact median of ``value`` per ``keys``; even counts average the middle two.
 
-    Equal values are counted before the shuffle, and only the parts that hold the
-    middle ranks are sorted.
+    ``df`` is read twice: pass a written table.  The first pass brackets the middle by two
+    approximate quantiles, whose sketches are merged from map-side partials.  The second
+    counts what lies below the bracket and above it as one row each, and the values inside
+    one by one, equal ones together; so of a large group only the rows about the middle are
+    shuffled, and none is sorted or written.  A bracket that misses the middle is seen from
+    the counts, and its group is done again with one ten times as wide.
     """
+    present = _grouped(df.where(F.col(value).isNotNull()), keys).select(GROUP, value)
+    ends = F.array(F.lit(max(0.0, 0.5 - bracket)), F.lit(min(1.0, 0.5 + bracket)))
+    brackets = stage(
+        present.groupBy(GROUP).agg(
+            F.count("*").alias("_all"),
+            F.percentile_approx(value, ends, F.lit(ACCURACY)).alias("_ends"),
+        )
+    )
+    v, low, high = F.col(value), F.col("_ends")[0], F.col("_ends")[1]
+    whole = bracket >= 0.5
+    cell = F.lit(1) if whole else F.when(v < low, 0).when(v <= high, 1).otherwise(2)
     counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        present.join(lookup(brackets, brackets.count()), GROUP)
+        .withColumn("_cell", cell)
+        .withColumn("_point", F.when(F.col("_cell") == 1, v))
+        .groupBy(GROUP, "_cell", "_point")
+        .agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
     )
-    parts = range_parts(counted, keys, [value])
-
-    groups = parts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-
-    def middle(before: Column, upto: Column) -> Column:
-        return (before < F.floor(F.col("_all") / 2) + 1) & (upto >= F.ceil(F.col("_all") / 2))
-
-    ranked = running_total(
-        parts, keys, [value], "_n", "_upto", groups=groups, keep=middle
+    # The bracket's distinct values and two rows more.
+    inside = Window.partitionBy(GROUP).orderBy("_cell", "_point")
+    upto = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.col("_upto") - F.col("_n")
+    middle = (before < F.floor(F.col("_all") / 2) + 1) & (F.col("_upto") >= F.ceil(F.col("_all") / 2))
+    # At most two rows a group.
+    hits = stage(counted.withColumn("_upto", upto).where(middle))
+    found = hits.groupBy(GROUP).agg(
+        ((F.min("_point") + F.max("_point")) / 2).alias(out),
+        F.min("_cell").alias("_least"),
+        F.max("_cell").alias("_most"),
     )
-    hits = ranked.where(middle(F.col("_upto") - F.col("_n"), F.col("_upto")))
-    return hits.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(out))
+    settled = found.where("_least = 1 AND _most = 1").select(f"{GROUP}.*", out)
+    missed = found.where("_least != 1 OR _most != 1").select(GROUP)
+    if whole or missed.isEmpty():
+        return settled
+    again = _grouped(df, keys).join(missed, GROUP, "left_semi").drop(GROUP)
+    return settled.unionByName(exact_median(again, keys, value, out, min(0.5, max(BRACKET, 10 * bracket))))

@@ -24,6 +24,17 @@ def median_footprint(production: DataFrame) -> DataFrame:
     return exact_median(used, ["year", "product"], "coef", "median")
 
 
+def tagged_origins(
+    bench: DataFrame, years: Sequence[str], products: Sequence[str] = PRODUCTS
+) -> DataFrame:
+    """Product and id of the origins above the cutoff in any of the years.
+
+    No flow of another origin takes part in the savings, so a scan may leave them out.
+    """
+    tagged = of_years(bench, years).where(F.col("tag_wf") == ABOVE_WF)
+    return tagged.where(F.col("product").isin(*products)).select("product", "origin_id").distinct()
+
+
 def median_savings(
     flows: DataFrame,
     bench: DataFrame,

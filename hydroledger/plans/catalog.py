@@ -220,37 +220,34 @@ def _bench_production(spark, sf_dir, years=YEARS, sums=None, products=PRODUCTS):
     )
 
 
-_MADE = ["volume", "green_m3", "blue_m3", "ha_def", "co2_def"]
-
-
-def _savings(spark, sf_dir, products, own=False, cells=None, sums=None):
+def _savings(spark, sf_dir, products, own=False, sums=None):
     """``own``: with the flows' own coefficients instead of the benchmark's.
 
-    Flows and production come from one pass over the lines.  Rounding works on single
-    flows, so equal ones are counted, not added.
+    In two phases: production and tags from supplier sums, then a second scan for the
+    single flows of the tagged suppliers alone.  Rounding works on single flows, so
+    equal ones are counted, not added.
     """
-    if cells is None:
-        lines = star.order_lines(spark, sf_dir, YEARS, products=products)
-        cells = stage(star.volume_cells(lines, _MADE))
-        sums = star.sums_of_cells(cells, _MADE)
     produced = _bench_production(spark, sf_dir, sums=sums, products=products)
+    bench = star.bench(produced, YEARS)
     columns = [*KEYS, "origin_id", "volume", "copies", *(["wf", "bwf"] if own else [])]
-    flows = star.trade(spark, sf_dir, columns, blocs=IMPORTERS, sums=cells)
-    return savings.median_savings(
-        flows,
-        star.bench(produced, YEARS),
-        savings.median_footprint(produced),
-        IMPORTERS,
+    flows = star.trade(
+        spark,
+        sf_dir,
+        columns,
         YEARS,
-        products,
-        SCALE,
+        IMPORTERS,
+        products=products,
+        origins=stage(savings.tagged_origins(bench, YEARS, products)),
+    )
+    return savings.median_savings(
+        flows, bench, savings.median_footprint(produced), IMPORTERS, YEARS, products, SCALE
     )
 
 
 @query
 def median_footprint(spark, sf_dir):
     produced = star.production(spark, sf_dir, ["year", "product", "wf", "bwf"])
-    return savings.median_footprint(produced)
+    return savings.median_footprint(stage(produced))
 
 
 @query
@@ -275,14 +272,13 @@ def median_savings_herd_own(spark, sf_dir):
 
 @query
 def savings_table(spark, sf_dir):
-    # One pass for the two footprints, for production and for the single flows.
+    # One pass for the two footprints and for production, one for the single flows.
     lines = star.order_lines(spark, sf_dir, YEARS)
-    cells = stage(star.volume_cells(lines, _FOOTPRINT[3:]))
-    sums = stage(star.sums_of_cells(cells, _FOOTPRINT[3:]))
+    sums = stage(star.supplier_sums(lines, _FOOTPRINT[3:]))
     blocs = (*IMPORTERS, HOME)
     flows = star.trade(spark, sf_dir, _FOOTPRINT, blocs=blocs, sums=sums)
     return savings.savings_table(
-        _savings(spark, sf_dir, (CROP, HERD), cells=cells, sums=sums),
+        _savings(spark, sf_dir, (CROP, HERD), sums=sums),
         summary.crop_bloc_footprint(flows, blocs, SCALE),
         summary.herd_bloc_footprint(flows, blocs, SCALE),
         HOME,

@@ -369,12 +369,12 @@ savings AS (
   SELECT bloc, at_median, as_is, median, round_even(as_is - at_median, 2) AS savings, year, product
   FROM (
     SELECT bloc, year, product, median,
-      round_even({_added(_signif("(median * volume)", 4), 12)} * 1e-6, 2) AS at_median,
-      round_even({_added(_signif("(coef * volume)", 4), 12)} * 1e-6, 2) AS as_is
+      round_even({_added(_signif("(median * volume)", 4))} * 1e-6, 2) AS at_median,
+      round_even({_added(_signif("(coef * volume)", 4))} * 1e-6, 2) AS as_is
     FROM tagged WHERE product = '{CROP}' GROUP BY 1, 2, 3, 4
     UNION ALL
-    SELECT bloc, year, product, median, {_added("(median * volume)", 12)} * 1e-6,
-      {_added("(coef * volume)", 12)} * 1e-6
+    SELECT bloc, year, product, median, {_added("(median * volume)")} * 1e-6,
+      {_added("(coef * volume)")} * 1e-6
     FROM tagged WHERE product = '{HERD}' GROUP BY 1, 2, 3, 4))"""
 
 

@@ -194,11 +194,14 @@ def order_lines(
     where: str | None = None,
     products: Sequence[str] = PRODUCTS,
     mark: str | None = None,
+    origins: DataFrame | None = None,
 ) -> DataFrame:
     """One row per order line: year, bloc, product, supplier and measures.
 
     A single product is a filter on the stored column, which the scan can use.  ``mark``
-    is a condition on the stored columns, whose outcome comes as ``marked``.
+    is a condition on the stored columns, whose outcome comes as ``marked``.  ``origins``
+    (product, origin_id) leaves out the lines of all other suppliers before they
+    meet their orders; pass a written table, by whose size Spark picks the join.
     """
     lines = table(spark, sf_dir, "lineitem")
     if where is not None:
@@ -222,6 +225,10 @@ def order_lines(
         "rint(l_quantity * l_discount * 15e3D) / 1e4D AS co2_high",
         *([f"coalesce({mark}, false) AS marked"] if mark else []),
     )
+    if origins is not None:
+        # The inverse of an origin's id, so that the lines' own key is compared.
+        wanted = origins.selectExpr("product", "cast(substring(origin_id, 3) AS bigint) AS l_suppkey")
+        measures = measures.join(wanted, ["product", "l_suppkey"], "left_semi")
     orders = _order_years(spark, sf_dir, years, blocs, with_bloc or blocs is not None)
     orders = _lookup(orders, sf_dir, "orders")
     return measures.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -250,30 +257,6 @@ def _line_sums(lines, measures, keys, strict=()) -> DataFrame:
     )
 
 
-def volume_cells(
-    lines: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("year", "bloc", "product")
-) -> DataFrame:
-    """Order lines added up per supplier and volume: equal flows once, with their number.
-
-    ``volume`` stays that of a single flow; ``volume_sum`` and the other measures are
-    decimal sums.  Where volumes are continuous this is as long as the lines.
-    """
-    sums = {"volume_sum" if m == "volume" else m: exact_sum(m, LINE_PLACES) for m in measures}
-    return lines.groupBy(*keys, "l_suppkey", "volume").agg(
-        F.count("*").alias("copies"), *[total.alias(m) for m, total in sums.items()]
-    )
-
-
-def sums_of_cells(
-    cells: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("year", "bloc", "product")
-) -> DataFrame:
-    """What :func:`supplier_sums` gives, from :func:`volume_cells` of the same measures."""
-    return cells.groupBy(*keys, "l_suppkey").agg(
-        *[exact_sum("volume_sum" if m == "volume" else m).alias(m) for m in measures],
-        F.sum("copies").alias("n_lines"),
-    )
-
-
 def trade(
     spark: SparkSession,
     sf_dir: str,
@@ -284,6 +267,7 @@ def trade(
     where: str | None = None,
     sums: DataFrame | None = None,
     products: Sequence[str] = PRODUCTS,
+    origins: DataFrame | None = None,
 ) -> DataFrame:
     """Flow table with the named columns.
 
@@ -291,13 +275,15 @@ def trade(
     supplier if a column depends on it, which every operator built on sums can use.
     With a ``copies`` column, equal volumes of a supplier are counted instead.  Without
     ``per_supplier`` there is one row per order line.  ``sums`` hands in supplier sums
-    made before.
+    made before.  ``origins`` names the only origins whose lines are read on.
     """
     by_supplier = {"wf", "bwf", *_SUPPLIER_COLUMNS} & set(columns)
     if sums is not None:
         flows = sums if blocs is None else sums.where(F.col("bloc").isin(*blocs))
     else:
-        flows = order_lines(spark, sf_dir, years, blocs, "bloc" in columns, where, products)
+        flows = order_lines(
+            spark, sf_dir, years, blocs, "bloc" in columns, where, products, origins=origins
+        )
         keys = [c for c in ("year", "bloc", "product") if c in columns]
         if "copies" in columns:
             flows = flows.groupBy(*keys, "l_suppkey", "volume").agg(F.count("*").alias("copies"))

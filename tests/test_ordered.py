@@ -7,7 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from hydroledger.operators.ordered import exact_median, range_parts, running_total
+from hydroledger.operators import ordered
+from hydroledger.operators.ordered import BRACKET, exact_median, range_parts, running_total
+from hydroledger.plans.staging import stage
 
 
 @pytest.fixture
@@ -108,6 +110,39 @@ def test_median_matches_brute_force(spark, many_parts, seed):
     assert got == {k: statistics.median(v) for k, v in values.items()}
 
 
+@pytest.mark.parametrize("bracket", [0.0, 1e-6, BRACKET, 0.1, 0.5])
+def test_medians_of_any_bracket(spark, bracket):
+    rng = random.Random(8)
+    data = [("wide", rng.gauss(0, 1) * 10 ** rng.randint(-9, 9)) for _ in range(30_001)]
+    data += [("half", float(i >= 5000)) for i in range(10_000)]  # the middle lies between two values
+    data += [("tied", 4.5)] * 9000 + [("few", float(i)) for i in range(8)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(11)
+    values = defaultdict(list)
+    for key, value in data:
+        values[key].append(value)
+    got = {r.k: r.m for r in exact_median(df, ["k"], "x", "m", bracket).collect()}
+    assert got == {k: statistics.median(v) for k, v in values.items()}
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    # Quantiles as crude as they get: their error exceeds the bracket by far.
+    monkeypatch.setattr(ordered, "ACCURACY", 2)
+    rng = random.Random(4)
+    data = [(i % 3, rng.random() ** 5) for i in range(60_000)]
+    df = spark.createDataFrame(data, "k int, x double").repartition(13)
+    got = {r.k: r.m for r in exact_median(df, ["k"], "x", "m", 1e-5).collect()}
+    assert got == {k: statistics.median([x for j, x in data if j == k]) for k in range(3)}
+
+
+def test_only_the_middle_of_a_group_is_shuffled(spark):
+    df = spark.range(400_000).select(F.lit("hot").alias("k"), F.rand(5).alias("x"))
+    median = exact_median(stage(df), ["k"], "x", "m")
+    assert median.count() == 1
+    ends = [0.5 - BRACKET, 0.5 + BRACKET]
+    low, high = df.select(F.percentile_approx("x", ends, F.lit(ordered.ACCURACY))).first()[0]
+    assert df.where((F.col("x") >= low) & (F.col("x") <= high)).count() < 400_000 * 0.003
+
+
 def test_ties_are_decided_by_the_last_order_column(spark):
     df = spark.createDataFrame(
         [("k", 1.0, "b", 1.0), ("k", 1.0, "a", 2.0)], "k string, o double, t string, v double"
