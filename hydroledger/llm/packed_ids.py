@@ -31,13 +31,13 @@ END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
 #: Words of one generation of a worker process's cache; it only saves time.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 80_000
 #: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
@@ -198,7 +198,9 @@ class Encoder:
         """
         self.known.renew()
         words = pc.ascii_split_whitespace(texts.fill_null(""))
+        offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
+        del words
         distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         found = list(map(self.known.get, distinct))
         gaps = [i for i, x in enumerate(found) if x is None]
@@ -212,7 +214,6 @@ class Encoder:
         word = coded.indices.to_numpy()
         each = sizes[word]
         upto = np.concatenate(([0], np.cumsum(each)))
-        offsets = words.offsets.to_numpy()
         ends = upto[offsets[1:] - offsets[0]] + np.arange(1, len(texts) + 1)
         # A word's place in the pool less its place in the output, then one step per id.
         first = ((np.cumsum(sizes) - sizes)[word] - upto[:-1]).astype(np.int32)
