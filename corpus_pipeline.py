@@ -38,7 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 read back from the written token ids."""
-    return packed_ids.encode_documents(docs, new_folder(spark, "packed-ids"))
+    # Workers still hold memory of the stages before: small caches, some more time.
+    folder = new_folder(spark, "packed-ids")
+    return packed_ids.encode_documents(docs, folder, kept_words=60_000, group_bytes=2 << 20)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -31,13 +31,13 @@ END_ID = 2
 #: Ids after which a block closes with its document.
 BLOCK_IDS = 65_536
 #: Words of one generation of a worker process's cache; it only saves time.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 600_000
 #: Write tasks up to which the ids before each are broadcast: 16 bytes a row, 16 MB.
 BROADCAST_PARTS = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x00"
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 32 << 20
 FILE_SCHEMA = (
     "part int, block int, start long, n_ids long, bits int, payload binary, "
     "doc_ids array<long>, offsets array<long>"
@@ -91,13 +91,14 @@ class Known(dict):
     dropped when the newer is full.
     """
 
-    def __init__(self):
+    def __init__(self, size: int = KEPT_WORDS):
         super().__init__({b"": b""})
+        self.size = size
         self.older: dict[bytes, bytes] = {}
 
     def renew(self) -> None:
         """Start a new generation when this one is full."""
-        if len(self) > KEPT_WORDS:
+        if len(self) > self.size:
             self.older = dict(self)
             self.clear()
             self[b""] = b""
@@ -118,13 +119,13 @@ class Encoder:
     together, as one text, with a mark between them that stands for one id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.known = Known()
+        self.known = Known(kept_words)
         (self.mark,) = np.frombuffer(self._one(MARK), "<u4")
         self.model, self.alphabet = self.tokenizer.model, _byte_letters()
         vocabulary = self.tokenizer.get_vocab_size()
@@ -226,12 +227,12 @@ class Encoder:
         return out, ends
 
 
-def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with texts of at most ``GROUP_BYTES``; a longer text stands alone."""
+def groups(batch: pa.RecordBatch, most: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of at most ``most`` bytes; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
     start, held = 0, 0
     for at, size in enumerate(sizes.tolist()):
-        if at > start and held + size > GROUP_BYTES:
+        if at > start and held + size > most:
             yield batch.slice(start, at - start)
             start, held = at, 0
         held += size
@@ -239,7 +240,14 @@ def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_IDS) -> None:
+def write(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    block_ids: int = BLOCK_IDS,
+    kept_words: int = KEPT_WORDS,
+    group_bytes: int = GROUP_BYTES,
+) -> None:
     """Write the ids of all texts to ``folder`` in ascending doc_id order.
 
     Missing ids come last, equal ids in the order of their text's hash.  Documents are
@@ -257,9 +265,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
         .sortWithinPartitions(*order)
     )
 
+    key = ("packed_ids", tokenizer, kept_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Its tasks share the words that a worker process has learned.
-        with kept_in_worker(("packed_ids", tokenizer), lambda: Encoder(tokenizer)) as encoder:
+        with kept_in_worker(key, lambda: Encoder(tokenizer, kept_words)) as encoder:
             yield from pack_all(batches, encoder)
 
     def pack_all(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
@@ -282,7 +292,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, block_ids: int = BLOCK_I
 
         held = 0
         for batch in batches:
-            for group in groups(batch):
+            for group in groups(batch, group_bytes):
                 flat, ends = encoder.ids(group.column(1))
                 low = 0
                 for doc_id, high in zip(group.column(0).to_pylist(), ends.tolist()):
@@ -367,12 +377,15 @@ def read_range(spark: SparkSession, folder: str, part: int, first: int, last: in
     return np.concatenate(found) if found else np.zeros(0, "<u4")
 
 
-def encode_documents(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, folder: str, tokenizer: str | None = None, **memory: int
+) -> DataFrame:
     """Write ``docs`` to ``folder`` and return doc_id, start, n_tokens, ids_crc32 from it.
 
     Every row gets its ids and the end id, a missing or empty text only the latter;
     repeated rows are written as often as they come; extra columns are left out; an
-    empty table gives an empty folder and no rows.
+    empty table gives an empty folder and no rows.  ``memory`` may lower ``kept_words`` and
+    ``group_bytes``, which trade a worker's memory for time and change no result.
     """
-    write(docs, folder, tokenizer or tokenizer_path())
+    write(docs, folder, tokenizer or tokenizer_path(), **memory)
     return documents(docs.sparkSession, folder)
