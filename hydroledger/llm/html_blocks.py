@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import CACHE_WORDS
+
 # HTML elements by how they are laid out.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
@@ -45,16 +47,22 @@ _P_ENDERS = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main nav ol p pre section table ul".split()
 )
+_P, _NONE = frozenset({"p"}), frozenset()
 _SCOPE = frozenset("article aside blockquote body div footer form header main nav section table td ul ol".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>",
-    re.S,
-)
+#: Where a comment, a declaration or a tag begins; no character is read twice.
+_OPEN = re.compile(r"<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: What a tag holds up to its end; a quote that is never closed is a character like others.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+")
+_ENDS = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
+#: Where markup begins in a page's end that closes no tag any more.
+_CUT = re.compile(r"<(?:[!?]|[a-zA-Z][a-zA-Z0-9:-]*+\s++[^\s<>=/\"']++\s*+=)")
+_NUMBER = re.compile(r"&#0*+([0-9]*+)(;?)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+#: Blocks whose vectors are laid out at once.
+_FEW = 4096
 PATH_SLOTS = 2048
 WORD_SLOTS = 1024
 DIM = 16
@@ -88,43 +96,108 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     found = [tag]
     for name, *values in _ATTRIBUTE.findall(attributes):
         parts = _PART.findall("".join(values))
-        found += [f"{'role' if name.lower() == 'role' else 'of'}:{x.lower()}" for x in parts[:8]]
+        found += [f"{'role' if name.lower() == 'role' else 'of'}:{x.lower()}" for x in parts]
     return tuple(found)
 
 
+def _plain(text: str) -> str:
+    """Character references decoded, white space made one space and trimmed."""
+    try:
+        text = html.unescape(text)
+    except ValueError:  # a reference of thousands of digits
+        short = lambda m: "\ufffd" if len(m[1]) > 7 else f"&#{m[1]}{m[2]}"
+        text = html.unescape(_NUMBER.sub(short, text))
+    return " ".join(text.split())
+
+
+class Open:
+    """The elements open at a place of a page; all steps take constant time per name.
+
+    Kept besides the elements themselves: where each tag is open, which of them nothing
+    reaches beyond, and how often each slot of their names is on the path.
+    """
+
+    def __init__(self, slots: dict[tuple[str, ...], tuple[int, ...]]):
+        self.known = slots
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.on_path: dict[int, int] = {}
+        self.leaf: tuple[int, ...] | None = None
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        slots = self.known.get(names)
+        if slots is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            slots = self.known[names] = tuple(_slot(n, PATH_SLOTS) for n in names)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _SCOPE:
+            self.scopes.append(len(self.stack))
+        for slot in slots:
+            self.on_path[slot] = self.on_path.get(slot, 0) + 1
+        self.stack.append((tag, slots))
+        self.leaf = None
+
+    def cut(self, size: int) -> None:
+        """Close all elements but the outer ``size``."""
+        while len(self.stack) > size:
+            tag, slots = self.stack.pop()
+            self.places[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+            for slot in slots:
+                self.on_path[slot] -= 1
+                if not self.on_path[slot]:
+                    del self.on_path[slot]
+        self.leaf = None
+
+    def end(self, tag: str) -> None:
+        """Close the innermost element of a tag, if one is open, and all inside."""
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def shut(self, tags: frozenset[str]) -> None:
+        """Close the innermost element of ``tags`` unless a scope stands before it."""
+        place = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if place >= (self.scopes[-1] if self.scopes else 0):
+            self.cut(place)
+
+    def path(self) -> tuple[int, ...]:
+        """Slots of all names on the path, and of the innermost tag as a leaf."""
+        if self.leaf is None:
+            last = [_slot(f"leaf:{self.stack[-1][0]}", PATH_SLOTS)] if self.stack else []
+            self.leaf = (*self.on_path, *last)
+        return self.leaf
+
+
 class Reader:
-    """Cuts pages into leaf blocks; keeps the slots of paths for reuse."""
+    """Cuts pages into leaf blocks, reading each character once; keeps slots for reuse."""
 
     def __init__(self):
         self.slots: dict[tuple[str, ...], tuple[int, ...]] = {}
 
-    def _path(self, stack: list[tuple[str, tuple[str, ...]]]) -> tuple[int, ...]:
-        names = tuple(n for _, each in stack for n in each)
-        found = self.slots.get(names)
-        if found is None:
-            if len(self.slots) > 100_000:
-                self.slots.clear()
-            last = stack[-1][1][:1] if stack else ()
-            found = self.slots[names] = tuple(
-                _slot(n, PATH_SLOTS) for n in (*dict.fromkeys(names), *(f"leaf:{n}" for n in last))
-            )
-        return found
-
     def blocks(self, page: str | None) -> list[Block]:
-        """Leaf blocks in page order; scripts, styles, forms' lists and comments are no text."""
+        """Leaf blocks in page order; scripts, styles, forms' lists and comments are no text.
+
+        Where no tag is closed any more, a ``<`` is text unless attributes follow its name.
+        Where quotes inside a tag run to the page's end, it and all later tags end at their
+        first ``>``.
+        """
         page = page or ""
         found: list[Block] = []
-        stack: list[tuple[str, tuple[str, ...]]] = []
+        opened = Open(self.slots)
         pieces: list[str] = []
         inside_link = 0
+        quotes = True
         chars = link_chars = 0
 
         def close() -> None:
             nonlocal chars, link_chars
             if pieces:
-                text = " ".join(html.unescape("".join(pieces)).split())
+                text = _plain("".join(pieces))
                 if text:
-                    found.append(Block(text, self._path(stack), link_chars / max(chars, 1)))
+                    found.append(Block(text, opened.path(), link_chars / max(chars, 1)))
                 pieces.clear()
             chars = link_chars = 0
 
@@ -136,12 +209,24 @@ class Reader:
                 link_chars += len(text) if inside_link else 0
 
         at = 0
-        while match := _TOKEN.search(page, at):
+        while match := _OPEN.search(page, at):
             take(page[at : match.start()])
             at = match.end()
-            end, tag, attributes, empty = match.groups()
-            if tag is None:
+            other, end, tag = match.groups()
+            if other:
+                stop = page.find(_ENDS[other], at)
+                at = stop + len(_ENDS[other]) if stop >= 0 else len(page)
                 continue
+            stop = _REST.match(page, at).end() if quotes else page.find(">", at)
+            if quotes and stop == len(page):
+                quotes, stop = False, page.find(">", at)
+            if stop < 0:
+                rest = page[match.start() :]
+                cut = _CUT.search(rest)
+                take(rest[: cut.start()] if cut else rest)
+                at = len(page)
+                break
+            attributes, empty, at = page[at:stop], page[stop - 1] == "/" and stop > at, stop + 1
             tag = tag.lower()
             if tag == "br":
                 take(" ")
@@ -152,26 +237,18 @@ class Reader:
                 continue
             close()
             if end:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                opened.end(tag)
                 continue
             if tag in VOID:
                 continue
             if tag in RAW:
                 if not empty:
-                    stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    stop = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
                     at = stop.end() if stop else len(page)
                 continue
-            shut = CLOSES.get(tag, frozenset({"p"}) if tag in _P_ENDERS else frozenset())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            opened.shut(CLOSES.get(tag, _P if tag in _P_ENDERS else _NONE))
             if not empty:
-                stack.append((tag, _names(tag, attributes)))
+                opened.push(tag, _names(tag, attributes))
         take(page[at:])
         close()
         return found
@@ -348,21 +425,34 @@ def start_weights(seed: int = 29) -> Weights:
     return p
 
 
+def _shares(sizes: np.ndarray) -> np.ndarray:
+    """What one of so many slots weighs: sums grow by the root up to 16 slots, and no further."""
+    return 1 / np.maximum(np.sqrt(sizes), sizes / 4)
+
+
 def _ragged_mean(table: np.ndarray, rows: list) -> np.ndarray:
-    sizes = np.array([len(r) for r in rows])
     out = np.zeros((len(rows), table.shape[1]))
-    full = np.flatnonzero(sizes)
-    if len(full):
-        flat = np.concatenate([np.asarray(rows[i], np.int64) for i in full])
-        starts = np.cumsum(sizes[full]) - sizes[full]
-        out[full] = np.add.reduceat(table[flat], starts) / np.sqrt(sizes[full])[:, None]
+    sizes = np.array([len(r) for r in rows])
+    # Long rows are counted per slot, so that no vector per word is ever laid out.
+    for i in np.flatnonzero(sizes > len(table) // 4):
+        out[i] = np.bincount(rows[i], minlength=len(table)) @ table * _shares(sizes[i])
+    few = np.flatnonzero((sizes > 0) & (sizes <= len(table) // 4))
+    for at in range(0, len(few), _FEW):
+        some = few[at : at + _FEW]
+        flat = np.concatenate([np.asarray(rows[i], np.int64) for i in some])
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        out[some] = np.add.reduceat(table[flat], starts) * _shares(sizes[some])[:, None]
     return out
 
 
-def _words(block: Block) -> list[int]:
-    """Slots of a block's first and last words; its length is a measure of its own."""
-    words = block.text.split()
-    return [_slot(w.lower(), WORD_SLOTS) for w in (words if len(words) <= 16 else words[:8] + words[-8:])]
+def _words(block: Block, known: dict[str, int]) -> np.ndarray:
+    """Slots of all words of a block, in any letter case."""
+    words = block.text.lower().split()
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    for word in set(words).difference(known):
+        known[word] = _slot(word, WORD_SLOTS)
+    return np.fromiter(map(known.__getitem__, words), np.int16, len(words))
 
 
 def _measures(page: list[Block]) -> np.ndarray:
@@ -383,7 +473,8 @@ def _measures(page: list[Block]) -> np.ndarray:
 def _inputs(p: Weights, pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, list, list]:
     """Padded inputs (time, page, width), mask, and the slots used."""
     paths = [b.path for page in pages for b in page]
-    words = [_words(b) for page in pages for b in page]
+    known: dict[str, int] = {}
+    words = [_words(b, known) for page in pages for b in page]
     flat = np.concatenate(
         (
             _ragged_mean(p["path"], paths),
@@ -405,8 +496,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(p: Weights, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states in time order; padded steps keep the state."""
+def _lstm(
+    p: Weights, side: str, x: np.ndarray, mask: np.ndarray, taped: bool = True
+) -> tuple[np.ndarray, list]:
+    """Hidden states in time order, and all steps if ``taped``; padded steps keep the state."""
     steps, many, _ = x.shape
     into = x @ p[f"x{side}"] + p[f"z{side}"]
     h, c = np.zeros((many, HIDDEN)), np.zeros((many, HIDDEN))
@@ -417,7 +510,8 @@ def _lstm(p: Weights, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.nd
         g = np.tanh(a[:, 3 * HIDDEN :])
         m = mask[t][:, None]
         new = f * c + i * g
-        tape.append((t, h, c, i, f, o, g, new, m))
+        if taped:
+            tape.append((t, h, c, i, f, o, g, new, m))
         c = np.where(m, new, c)
         h = np.where(m, o * np.tanh(new), h)
         out[t] = h
@@ -443,10 +537,10 @@ def _lstm_back(p: Weights, side: str, x: np.ndarray, tape: list, d_out: np.ndarr
     return dx
 
 
-def _logits(p: Weights, pages: list[list[Block]]) -> tuple:
+def _logits(p: Weights, pages: list[list[Block]], taped: bool = True) -> tuple:
     x, mask, at, slots = _inputs(p, pages)
-    forth, tape_f = _lstm(p, "f", x, mask)
-    back, tape_b = _lstm(p, "b", x, mask)
+    forth, tape_f = _lstm(p, "f", x, mask, taped)
+    back, tape_b = _lstm(p, "b", x, mask, taped)
     z = np.concatenate((forth, back, x), 2)[at]
     return z @ p["o"] + p["o0"][0], (x, mask, at, slots, tape_f, tape_b, z)
 
@@ -468,7 +562,7 @@ def _gradients(p: Weights, pages: list[list[Block]], y: np.ndarray) -> Weights:
         if sizes.sum():
             which = np.repeat(np.arange(len(rows)), sizes)
             slots = np.concatenate([np.asarray(r, np.int64) for r in rows if len(r)])
-            value = flat[which, low : low + DIM] / np.sqrt(sizes[which])[:, None]
+            value = flat[which, low : low + DIM] * _shares(sizes[which])[:, None]
             np.add.at(grads[name], slots, value)
     return grads
 
@@ -517,7 +611,7 @@ def label(p: Weights, pages: list[list[Block]]) -> list[list[float]]:
         while len(pages[chosen[-1]]) > 2 * len(pages[chosen[0]]) + 8:
             chosen.pop()
         at += len(chosen)
-        found = _sigmoid(_logits(p, [pages[i] for i in chosen])[0])
+        found = _sigmoid(_logits(p, [pages[i] for i in chosen], taped=False)[0])
         for i, part in zip(chosen, np.split(found, np.cumsum([len(pages[i]) for i in chosen])[:-1])):
             out[i] = part.tolist()
     return out
