@@ -72,7 +72,11 @@ HIDDEN = 16
 SAMPLE_PAGES = 200
 #: Characters of a sampled page that give words to layouts; extraction reads whole pages.
 SAMPLE_CHARS = 20_000
-LAYOUTS = 1000
+LAYOUTS = 1500
+#: How many times slower words learn than the rest.
+WORD_RATE = 40
+#: Share of layouts whose article stands in elements without a name.
+BARE = 0.25
 EPOCHS = 10
 
 
@@ -291,15 +295,52 @@ _ARTICLE = (
 _WRAPPERS = ("container", "wrapper", "wrap", "site", "layout", "row", "col", "inner", "outer", "root", "app", "grid")
 
 
-def sample_layout(rng: np.random.Generator, words: list[str]) -> tuple[str, list[bool]]:
-    """A page of random layout around the words, and for each of its blocks whether it is article."""
+#: Parts of a page whose tags or names leave no doubt.
+_PLAIN_TAGS = {"nav": "menu", "header": "header", "footer": "footer", "form": "form", "article": "article", "main": "article"}
+_PLAIN_ARTICLE = ("article", "content", "post", "entry", "story", "prose", "hentry")
+
+
+def named_parts(pages: list[list[Block]]) -> dict[str, list[str]]:
+    """Words of the blocks that their page names as one part alone, by part."""
+    kinds: dict[int, set[str]] = {}
+    names = {kind: each for kind, (_, each) in _PARTS.items()} | {"article": _PLAIN_ARTICLE}
+    for kind, each in names.items():
+        for name in each:
+            kinds.setdefault(_slot(f"of:{name}", PATH_SLOTS), set()).add(kind)
+    # Names and tags share slots: the tag counts, and no name that an element of every page hides.
+    kinds |= {_slot(tag, PATH_SLOTS): {kind} for tag, kind in _PLAIN_TAGS.items()}
+    for tag in (_P_ENDERS | _SCOPE | {"html", "li", "tr", "td", "th", "dt", "dd"}) - _PLAIN_TAGS.keys():
+        kinds.pop(_slot(tag, PATH_SLOTS), None)
+        kinds.pop(_slot(f"leaf:{tag}", PATH_SLOTS), None)
+    found: dict[str, list[str]] = {}
+    for block in (b for page in pages for b in page):
+        hit = set().union(*(kinds[x] for x in block.path if x in kinds))
+        if len(hit) == 1:
+            found.setdefault(hit.pop(), []).extend(block.text.split())
+    return found
+
+
+def sample_layout(
+    rng: np.random.Generator,
+    words: list[str],
+    parts: dict[str, list[str]] | None = None,
+    bare: bool = False,
+) -> tuple[str, list[bool]]:
+    """A page of random layout around the words, and for each of its blocks whether it is article.
+
+    Where ``parts`` holds words of a part, half of its blocks are made of those.  The
+    article of a ``bare`` page stands in elements without a name.
+    """
     page: list[str] = []
     labels: list[bool] = []
+    part = "article"
 
     def some(low: int, high: int) -> str:
+        own = (parts or {}).get(part)
+        pool = own if own and rng.random() < 0.5 else words
         size = int(rng.integers(low, high + 1))
-        at = int(rng.integers(0, max(1, len(words) - size)))
-        return html.escape(" ".join(words[at : at + size]), quote=False) or "x"
+        at = int(rng.integers(0, max(1, len(pool) - size)))
+        return html.escape(" ".join(pool[at : at + size]), quote=False) or "x"
 
     def pick(values: tuple[str, ...]) -> str:
         return values[int(rng.integers(len(values)))]
@@ -334,8 +375,10 @@ def sample_layout(rng: np.random.Generator, words: list[str]) -> tuple[str, list
         labels.append(label)
 
     def aside(kind: str) -> None:
+        nonlocal part
         tags, names = _PARTS[kind]
         tag = opened(tags, names, 0.5)
+        part = kind
         long = kind in ("comments", "sidebar", "notice") and rng.random() < 0.6
         inner = int(rng.integers(1, 7))
         shape = rng.random()
@@ -358,9 +401,14 @@ def sample_layout(rng: np.random.Generator, words: list[str]) -> tuple[str, list
             page.append('<input type="text" name="q"><button>' + some(1, 2) + "</button>")
             labels.append(False)
         page.append(f"</{tag}>")
+        part = "article"
 
     def article() -> None:
-        tag = opened(*_ARTICLE, 0.7)
+        if bare:
+            tag = pick(("div", "div", "section"))
+            page.append(f"<{tag}>")
+        else:
+            tag = opened(*_ARTICLE, 0.7)
         if rng.random() < 0.7:
             leaf(pick(("h1", "h1", "h2")), some(2, 12), True)
         unclosed = rng.random() < 0.2
@@ -567,13 +615,19 @@ def _gradients(p: Weights, pages: list[list[Block]], y: np.ndarray) -> Weights:
     return grads
 
 
-def train(texts: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, seed: int = 29) -> Weights:
-    """Adam over minibatches of composed pages; ``texts`` give them their words."""
+def train(
+    texts: list[str],
+    parts: dict[str, list[str]] | None = None,
+    layouts: int = LAYOUTS,
+    epochs: int = EPOCHS,
+    seed: int = 29,
+) -> Weights:
+    """Adam over minibatches of composed pages; ``texts`` and ``parts`` give them their words."""
     rng = np.random.default_rng(seed)
     pool = [w for t in texts for w in t.split()] + ["text"] * 400
     reader, pages = Reader(), []
     while len(pages) < layouts:
-        page, labels = sample_layout(rng, pool)
+        page, labels = sample_layout(rng, pool, parts, rng.random() < BARE)
         blocks = reader.blocks(page)
         if len(blocks) == len(labels):
             pages.append((blocks, np.array(labels, np.float64)))
@@ -592,8 +646,8 @@ def train(texts: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, seed:
             for k, v in grads.items():
                 moment[k] += 0.1 * (v - moment[k])
                 square[k] += 0.01 * (v * v - square[k])
-                # Layouts say more than words: those may only move slowly.
-                p[k] = p[k] - (rate / 20 if k == "word" else rate) * (moment[k] / (1 - 0.9**step)) / (
+                # Layouts say more than words, which may only move slowly.
+                p[k] = p[k] - (rate / WORD_RATE if k == "word" else rate) * (moment[k] / (1 - 0.9**step)) / (
                     np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8
                 )
     return p
@@ -617,6 +671,13 @@ def label(p: Weights, pages: list[list[Block]]) -> list[list[float]]:
     return out
 
 
+def learn(pages: list[str]) -> Weights:
+    """Learn from layouts composed around the texts of pages, and of the parts they name."""
+    reader = Reader()
+    read = [reader.blocks(x) for x in pages]
+    return train([" ".join(b.text for b in page) for page in read], named_parts(read))
+
+
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
     """Learn from layouts composed around the texts of at most ``sample`` pages."""
     chosen = (
@@ -636,8 +697,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
         .limit(sample)
         .collect()
     )
-    reader = Reader()
-    return train([" ".join(b.text for b in reader.blocks(r.html)) for r in rows])
+    return learn([r.html for r in rows])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -78,3 +78,50 @@ def test_all_words_of_a_block_count():
         want = p["word"][row].sum(0) / max(np.sqrt(size), size / 4)
         np.testing.assert_allclose(found, want, atol=1e-12)
     assert not np.allclose(got[2], got[3])
+
+
+@pytest.fixture(scope="module")
+def pages():
+    """Named pages to learn from: menus, articles and footers have words of their own."""
+    rng = np.random.default_rng(3)
+    word = lambda kind, n: " ".join(f"{kind}{k}" for k in rng.integers(0, 400, n))
+    made = []
+    for _ in range(100):
+        body = "".join(f"<p>{word('a', int(rng.integers(5, 60)))}.</p>" for _ in range(6))
+        made.append(
+            f"<body><nav><a>{word('m', 3)}</a></nav><article>{body}</article>"
+            f"<footer>{word('f', 12)}</footer></body>"
+        )
+    return made
+
+
+def test_words_of_named_parts(pages):
+    reader = html_blocks.Reader()
+    parts = html_blocks.named_parts([reader.blocks(x) for x in pages])
+    assert {k: {w[0] for w in each} for k, each in parts.items()} == {
+        "menu": {"m"},
+        "article": {"a"},
+        "footer": {"f"},
+    }
+
+
+def test_articles_in_plain_elements(pages):
+    """An article in a ``<div>`` without a name, between a cookie notice and a copyright."""
+    weights = html_blocks.learn(pages)
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join(f"new{k}" for k in rng.integers(0, 5000, n))
+    read, marks = [], []
+    for _ in range(60):
+        size = int(rng.integers(2, 9))
+        body = "".join(f"<p>{some(int(rng.integers(20, 80)))}.</p>" for _ in range(size))
+        page = (
+            f'<body><div class="cookie">{some(12)}</div><div>{body}</div>'
+            f'<div class="copyright">&copy; {some(4)}</div></body>'
+        )
+        read.append(html_blocks.Reader().blocks(page))
+        marks.append([False] + [True] * size + [False])
+    right = [
+        [x >= 0.5 for x in scores] == wanted
+        for scores, wanted in zip(html_blocks.label(weights, read), marks)
+    ]
+    assert sum(right) >= 54
