@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, starts_in_order
+from .common import checkpointed, starts_in_order, unused_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -290,8 +290,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     All columns of ``docs`` stay; ``text`` holds the words taken (the whole text when all
     are), ``n_chars`` its length where that column exists.  A document may come twice, with
-    its own doc_id; one of which nothing is taken does not come.
+    its own doc_id; one of which nothing is taken does not come, as those without words.
+    Repeated rows are documents of their own; an empty table gives no rows.
     """
+    key, number, parts = (unused_name(docs, f"_mix_{c}") for c in ("key", "number", "runs"))
     placed = packed(docs)
     taken = (
         mix(placed, targets(placed))
@@ -303,9 +305,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         .withColumn("_source", F.struct("source"))
         .join(taken, ["_source", "start"])
         .select(
-            F.col("_key").alias("_mix_key"),
-            F.col("_copy").alias("_mix_number"),
-            F.col("_runs").alias("_mix_runs"),
+            F.col("_key").alias(key), F.col("_copy").alias(number), F.col("_runs").alias(parts)
         )
     )
 
@@ -316,12 +316,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             dtype=object,
         )
 
-    # The copies are numbered and joined after one shuffle by key.
-    keyed = docs.withColumn("_mix_key", _row_key()).withColumn(
-        "_mix_copy", _copy_number("_mix_key")
-    )
-    mixed = keyed.join(named, "_mix_key").where(F.col("_mix_copy") - F.col("_mix_number") == 0)
-    mixed = mixed.withColumn("text", cut(F.col("text").cast("string"), "_mix_runs"))
+    # Both columns are keys, so that repeated rows meet one by one.
+    keyed = docs.withColumn(key, _row_key()).withColumn(number, _copy_number(key))
+    mixed = keyed.join(named, [key, number])
+    mixed = mixed.withColumn("text", cut(F.col("text").cast("string"), parts))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(docs.columns)
