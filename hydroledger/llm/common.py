@@ -32,16 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
 
     A local session that names none gets a temporary folder; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    local = context.master.split("[")[0] in ("local", "local-cluster")
     if folder:
+        if not local and folder.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir names a folder of one machine: {folder}")
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="corpus-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    context.setCheckpointDir(folder)
     return folder
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,7 +79,8 @@ def labelled_sample(
     """Text and label of at most ``rows`` labelled documents outside the held-out fold.
 
     The ids come in the order of their hash, so reruns take the same ones.  A document
-    with several labels counts with the larger one.
+    with several labels counts with the larger one, an id with several rows with one of
+    them: that whose text has the smallest hash, a missing text after all others.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -77,7 +90,15 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
+    text = F.col("text").cast("string")
+    order = F.struct(text.isNull(), F.xxhash64(text))
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min_by("text", order).alias("text"), F.max("_label").alias("_label"))
+        .drop("doc_id")
+    )
 
 
 @contextmanager

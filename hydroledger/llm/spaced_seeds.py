@@ -243,7 +243,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS
 ) -> DataFrame:
-    """The rows of ``docs`` that repeat no benchmark item, with all their columns."""
+    """The rows of ``docs`` that repeat no benchmark item, with all their columns.
+
+    Missing and empty texts stay; repeated rows stay or go together; an empty table stays
+    empty, and an empty benchmark drops nothing.
+    """
     kept = docs
     for items in _slices(benchmark, slice_words):
         kept = kept.where(_clean(items)(F.col("text").cast("string")))

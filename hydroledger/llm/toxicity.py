@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, held_out, labelled_sample
+from .common import WordHashes, held_out, labelled_sample, unused_name
 
 HASH_BITS = 20
 STEM = 6
@@ -176,6 +176,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
-    mark = "_toxicity_score"
+    """The rows of ``docs`` that score below 0.5, with all their columns, whatever their names.
+
+    Missing and empty texts get the intercept's score, which is low unless most labels are
+    toxic; repeated rows stay or go together; an empty table stays empty.
+    """
+    mark = unused_name(docs, "_toxicity_score")
     return with_score(docs, fit(docs, labels), mark).where(F.col(mark) < 0.5).drop(mark)

@@ -30,7 +30,7 @@ from hydroledger.llm import (
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns with the names that operators use inside.
-CLASHES = ("score", "fp", "start", "size", "slots", "row", "part", "word", "label", "block", "_key", "root")
+CLASHES = ("_toxicity_score", "_mix_key", "_mix_number", "_mix_runs", "score", "fp", "start", "size", "slots", "row", "part", "word", "label", "block", "_key", "root")
 
 
 def words(rng, n, vocabulary=400):
