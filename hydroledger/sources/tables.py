@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -68,8 +69,11 @@ def read_table(
 
 
 def publish(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a result table."""
-    df.write.mode(mode).parquet(path)
+    """Write a result table; an overwritten one stays readable until the new one is whole."""
+    if mode != "overwrite":
+        df.write.mode(mode).parquet(path)
+        return
+    _swap(df, path, lambda aside: df.write.parquet(aside))
 
 
 def publish_layer(
@@ -80,4 +84,35 @@ def publish_layer(
     The rebalance hint gathers each folder's rows and lets Spark split a large one
     over several tasks.
     """
-    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
+    spread = df.hint("rebalance", *by)
+    if mode != "overwrite":
+        spread.write.mode(mode).partitionBy(*by).parquet(path)
+        return
+    _swap(df, path, lambda aside: spread.write.partitionBy(*by).parquet(aside))
+
+
+def _swap(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path``, then put the new table in the place of the former one.
+
+    A job that fails, also in the middle, leaves the former table as it was; a query may
+    read the table that it replaces.  The exchange is two renames, and if the second one
+    fails, the former table goes back.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    name = path.rstrip("/")
+    aside, former = f"{name}.new-{mark}", f"{name}.old-{mark}"
+    here, new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (name, aside, former))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(aside)
+        replaces = files.exists(here)
+        if replaces and not files.rename(here, old):
+            raise OSError(f"cannot set aside the former table {path}")
+        if not files.rename(new, here):
+            if replaces:
+                files.rename(old, here)
+            raise OSError(f"cannot publish {path}")
+    finally:
+        files.delete(new, True)
+    files.delete(old, True)

@@ -47,6 +47,23 @@ def test_layers_are_written_by_year(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/layer").count() == 3
 
 
+def test_a_failed_job_leaves_the_former_table(spark, tmp_path):
+    for write, by in ((publish, ()), (publish_layer, (["year"],))):
+        path = f"{tmp_path}/{write.__name__}"
+        df = spark.range(20).select((F.col("id") % 2).cast("string").alias("year"), "id")
+        write(df, path, *by)
+        fails = df.withColumn("id", F.when(F.col("id") == 7, F.raise_error("stop")).otherwise(F.col("id")))
+        with pytest.raises(Exception, match="stop"):
+            write(fails, path, *by)
+        assert spark.read.parquet(path).count() == 20
+        # A query may read what it replaces, and nothing stays beside the table.
+        write(spark.read.parquet(path).where("id < 5"), path, *by)
+        assert spark.read.parquet(path).count() == 5
+        write(df.limit(1), path, *by, mode="append")
+        assert spark.read.parquet(path).count() == 6
+    assert sorted(os.listdir(tmp_path)) == ["publish", "publish_layer"]
+
+
 def test_staged_table_goes_to_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     df = spark.range(10).withColumn("x", F.col("id") * 2)
