@@ -506,6 +506,7 @@ FROM hot_sums LEFT JOIN summary USING (year, bloc, product)""",
 # --- water series and panels ------------------------------------------------
 
 
+# Fixed values in the SQL below: the four series, in the order of the published panels.
 def _series(grain: str, blocs: str = f"bloc IN {_IMPORTERS}") -> str:
     return f"""series AS (
   SELECT {grain}, product || ' - ' || colour AS type,
@@ -624,6 +625,7 @@ shown AS (
     )
 
 
+# Class edges and labels of the published maps.
 _SCARCITY = """WHEN coef > 0 AND coef < 500 THEN '0-500' WHEN coef >= 500 AND coef < 1000
   THEN '500-1000' WHEN coef >= 1000 AND coef < 2000 THEN '1000-2000' WHEN coef >= 2000
   AND coef < 3000 THEN '2000-3000' WHEN coef >= 3000 AND coef < 5000 THEN '3000-5000'
@@ -658,6 +660,7 @@ FULL JOIN place USING (origin_id)"""
 
 
 ORACLE |= {
+    # Fixed values in it: class edges and labels of the published map.
     "blue_map_layer": _with(
         _TRADE,
         _PLACE,
